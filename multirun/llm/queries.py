@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from multirun.llm import decontaminate, forest, langid, packing, token_files
+from multirun.llm import decontaminate, forest, langid, packing, pii, token_files, urls
 from multirun.session import table
 
 QUERIES: dict = {}
@@ -67,3 +67,18 @@ def op10_packing(spark, d):
 @query()
 def op8_jaccard_join(spark, d):
     return forest.join(table(spark, d, "documents"))
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query()
+def op1_url_filter(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return urls.judge(pages, RULES, urls.fit(urls.seed_labels(pages))).drop("url")
+
+
+@query()
+def op2_pii(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.digest(pii.detect(docs, pii.fit(docs)))
