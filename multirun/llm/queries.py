@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from multirun.llm import decontaminate, forest, langid, packing, pii, token_files, urls
+from multirun.llm import decontaminate, forest, langid, packing, pii, suffix_dedup, token_files, urls
 from multirun.session import table
 
 QUERIES: dict = {}
@@ -82,3 +82,8 @@ def op1_url_filter(spark, d):
 def op2_pii(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return pii.digest(pii.detect(docs, pii.fit(docs)))
+
+
+@query()
+def op5_suffix_dedup(spark, d):
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, d, "documents")))
