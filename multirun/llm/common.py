@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once, but for a single longer document.
 GROUP_BYTES = 2 << 20
@@ -34,6 +35,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """Arrow batches of a few MB instead of Spark's default of 64: a task holds one beside its working arrays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, limit)
+
+
+def bounded_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows for fitting a model, drawn over the whole table by the hash of a column.
+
+    The share comes from a count, so tasks send what is drawn and no more; the limit holds where many rows
+    are equal and so drawn together.
+    """
+    n = df.count()
+    if n > rows:
+        df = df.where(F.pmod(F.xxhash64(column), F.lit(1_000_000)) < int(900_000 * rows / n))
+    return df.limit(rows)
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):

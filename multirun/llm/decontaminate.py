@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import LOWER, stored, text_groups, token_spans
+from multirun.llm.common import LOWER, small_batches, stored, text_groups, token_spans
 
 WINDOW = 10
 #: Positions between two documents of a shard; more than any window or proximity reach.
@@ -51,6 +51,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of whole texts; nothing is shuffled."""
+    small_batches(docs.sparkSession)
 
     def f(batches):
         for b, data, off in text_groups(batches):

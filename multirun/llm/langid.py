@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import GROUP_BYTES, groups, stored
+from multirun.llm.common import GROUP_BYTES, bounded_sample, groups, small_batches, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -81,7 +81,7 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = SAMPLE_ROWS) -> Model:
     """Counts trigrams on at most ``rows`` labelled rows, drawn by the hash of their text from the whole table."""
     pick = labelled.where(F.col(label).isin(*languages) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    sample = pick.orderBy(F.xxhash64("t"), "l").limit(rows).collect()
+    sample = bounded_sample(pick, "t", rows).collect()
     counts = np.zeros((len(languages) + 1, BUCKETS))
     for r in sample:
         counts[languages.index(r["l"])] += np.bincount(trigrams(np.frombuffer(b" " + r["t"].encode() + b"  ", np.uint8)), minlength=BUCKETS)
@@ -139,6 +139,7 @@ def identify(
 
     ``declared`` is a language tag as markup gives it; ``url`` gives the suffix, and the host where ``host`` is not given.
     """
+    small_batches(df.sparkSession)
     langs, n = model.languages, len(model.languages)
     accepted = langs if accepted is None else accepted
     host = host if host is not None else host_of(url) if url is not None else F.lit(None).cast("string")

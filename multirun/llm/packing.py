@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from multirun.llm.common import stored
+from multirun.llm.common import small_batches, stored
 from multirun.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -112,6 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``."""
+    small_batches(docs.sparkSession)
     p = stored(pieces(docs, tokenizer, end_id, capacity), "pieces")
     counts = p.groupBy("part", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from multirun.llm.common import shared_dir
+from multirun.llm.common import shared_dir, small_batches
 from multirun.llm.tokens import encoder
 
 #: Ids a block holds before it is closed, and documents.
@@ -78,6 +78,7 @@ class EliasFano:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts in ascending id order and writes the block files."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([
         ("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("wide", pa.bool_()), ("low_bits", pa.int32()),
         ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()), ("ids", pa.binary()),
