@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from multirun.llm import decontaminate, forest, langid, packing, pii, suffix_dedup, token_files, urls
+from multirun.llm import audio, decontaminate, forest, html_text, langid, packing, pii, suffix_dedup, token_files, urls
 from multirun.session import table
 
 QUERIES: dict = {}
@@ -87,3 +87,13 @@ def op2_pii(spark, d):
 @query()
 def op5_suffix_dedup(spark, d):
     return suffix_dedup.digest(suffix_dedup.dedup(table(spark, d, "documents")))
+
+
+@query()
+def op4_audio_features(spark, d):
+    return audio.media_features(table(spark, d, "documents"))
+
+
+@query()
+def op7_html_text(spark, d):
+    return html_text.extract(table(spark, d, "pages"))
