@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import LOWER, mix, prefix_hash, span_hash, stored, text_groups, token_spans
+from multirun.llm.common import LOWER, mix, prefix_hash, small_batches, span_hash, stored, text_groups, token_spans
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, LABEL = 20, 8
@@ -39,8 +39,8 @@ RECALL = 0.998
 #: MinHash values in a sketch, kept as a byte each; the first TREES * depth of TREES * LABEL others make the labels.
 SKETCH = 128
 NEAR_COVER, NEAR_LINK = 0.8, 0.47
-#: Documents in a block of a family.
-BLOCK = 512
+#: Documents in a block of a family, and shingles, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _RNG = np.random.default_rng(8)
 N_HASH = max(SKETCH, TREES * LABEL)
@@ -102,7 +102,7 @@ def minhash(sets: list[np.ndarray], n: int = N_HASH) -> np.ndarray:
     return out
 
 
-SETS = "doc_id bigint, key binary, labels array<bigint>, sketch binary"
+SETS = "doc_id bigint, key binary, n bigint, labels array<bigint>, sketch binary"
 
 
 def signatures(docs: DataFrame, k: int, words: int = WORDS) -> DataFrame:
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, k: int, words: int = WORDS) -> DataFrame:
             sets = shingles(data, off, words)
             full = [i for i, s in enumerate(sets) if len(s)]
             mins = minhash([sets[i] for i in full])
-            keys, labels, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            keys, labels, sketches, sizes = ([None] * len(sets) for _ in range(4))
             sk = (mins[:, :SKETCH] * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8)
             lab = np.empty((len(full), TREES), np.uint64)
             for t in range(TREES):
@@ -122,9 +122,9 @@ def signatures(docs: DataFrame, k: int, words: int = WORDS) -> DataFrame:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + mins[:, t * k + c])
                 lab[:, t] = h
             for r, i in enumerate(full):
-                keys[i], labels[i], sketches[i] = set_key(sets[i]), lab[r].view(np.int64).tolist(), sk[r].tobytes()
+                keys[i], labels[i], sketches[i], sizes[i] = set_key(sets[i]), lab[r].view(np.int64).tolist(), sk[r].tobytes(), len(sets[i])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "key", "labels", "sketch"]
+                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "labels", "sketch"]
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(f, SETS)
@@ -138,6 +138,24 @@ def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - 1 / 256) / (1 - 1 / 256)
 
 
+def spanning(links: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """As many links as join the same ids: each id to the least one it is linked with."""
+    parent: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    pairs = [(k, top(k)) for k in parent if top(k) != k]
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
 class Leaders:
     """Covers one bucket by leaders, a chunk of rows at a time."""
 
@@ -167,7 +185,10 @@ class Leaders:
 
 def bucket_links(reps: DataFrame) -> DataFrame:
     """Distinct links ``(a, b)`` between representatives that meet in some tree."""
-    rows = reps.select("rep", "sketch", F.explode("labels").alias("label"))
+    # labels that no other representative has make no links; only the rest carries sketches
+    rows = reps.select("rep", F.explode("labels").alias("label"))
+    shared = rows.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    rows = rows.join(shared, "label", "left_semi").join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "label")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "label").sortWithinPartitions("label", "rep")
 
@@ -198,10 +219,10 @@ def bucket_links(reps: DataFrame) -> DataFrame:
                 if len(waiting[0]) >= 4096:
                     links += flush()
             if links:
-                a, z = zip(*set(links), strict=True)
+                a, z = spanning(links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
         if links := flush():
-            a, z = zip(*set(links), strict=True)
+            a, z = spanning(links)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(f, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -261,11 +282,11 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) ->
 def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
     """Exact links inside families, as ``(rep, root, links)`` sums and spanning links ``(rep, to)``.
 
-    ``family`` has ``rep, root, weight`` (documents in the class) for families of two or more.
+    ``family`` has ``rep, root, weight, n`` (documents in the class, shingles) for families of two or more.
     """
-    # a row's block by its order inside its family: bounded blocks, of which a task holds two
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    sized = family.join(family.groupBy("root").agg(F.count("*").alias("size")), "root")
+    # a row's block by its hash inside its family: bounded blocks, of which a task holds two
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int")
+    sized = family.join(family.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("volume")), "root")
     sized = sized.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
 
     def sets(batches):
@@ -313,18 +334,20 @@ def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) ->
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (least id of the group linked to it), ``set_id`` (least id
     with an equal set) and ``n_links`` (other documents at or above the threshold)."""
+    small_batches(docs.sparkSession)
     sig = stored(signatures(docs, depth(threshold), words), "signatures")
-    keyed = sig.where("key is not null and doc_id is not null").select("doc_id", "key", "labels", "sketch").dropDuplicates(["doc_id", "key"])
-    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"))
-    member = stored(keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "rep", "weight"), "members")
+    keyed = sig.where("key is not null and doc_id is not null").select("doc_id", "key", "n", "labels", "sketch").dropDuplicates(["doc_id", "key"])
+    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    member = stored(keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "rep", "weight", "n"), "members")
     reps = keyed.join(member.where("doc_id = rep").select(F.col("doc_id"), "weight"), "doc_id").select(F.col("doc_id").alias("rep"), "labels", "sketch")
     roots = components(bucket_links(reps)).select(F.col("id").alias("rep"), "root")
-    weights = member.where("doc_id = rep").select("rep", "weight")
+    weights = member.where("doc_id = rep").select("rep", "weight", "n")
     family = stored(roots.join(weights, "rep"), "family")
     found = stored(verify(family, docs, threshold, words), "verified")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
-    info = links.join(groups.select(F.col("id").alias("rep"), F.col("root").alias("g")), "rep", "left")
+    # stored, so that members of a large class are joined from plain exchanges, which can be split
+    info = stored(links.join(groups.select(F.col("id").alias("rep"), F.col("root").alias("g")), "rep", "left"), "info")
     out = member.join(info, "rep", "left").select(
         "doc_id", F.coalesce("g", "rep").alias("class_id"), F.col("rep").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links")
     )
