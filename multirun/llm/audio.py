@@ -30,7 +30,7 @@ FRAME, HOP, MELS = 256, 128, 24
 #: Frames in a tensor.
 SHAPE = (64, MELS)
 #: Decibels above a payload's median frame energy at which a segment begins, and below which it ends.
-BEGIN_DB, END_DB = 1.5, -1.5
+BEGIN_DB, END_DB = 1.5, 0.5
 #: Payload padding of the contract: bytes 255 up to a positive multiple of this.
 BLOCK = 576
 #: Samples worked on at once; a multiple of DOWN.

@@ -54,6 +54,24 @@ def bounded_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
     return df.limit(rows)
 
 
+def own_columns(df: DataFrame, *besides: str) -> list:
+    """All columns of a frame but those an operator is about to add; names are compared as Spark does, whatever they hold."""
+    taken = {c.lower() for c in besides}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in taken]
+
+
+def odd_ids(df: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether ids fail to name rows: one is null or repeats."""
+    return not df.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty()
+
+
+def row_keys(df: DataFrame, name: str, id_col: str = "doc_id") -> tuple[DataFrame, bool]:
+    """The frame with a unique long per row: the id itself, or where ids do not name rows, a number that is stored with it."""
+    if not odd_ids(df, id_col):
+        return df.withColumn(name, F.col(id_col).cast("bigint")), False
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows"), True
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):

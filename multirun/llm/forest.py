@@ -15,9 +15,9 @@ Links join documents into families by a distributed connected-components run. On
 of two or more are verified, exactly, on their sets: families are cut into blocks of a bounded number of
 documents, a task gets two blocks, and counts its pairs inside arrays. No pair is written as a row.
 
-Cases: a null or empty text, or one without words, has no set, is its own class and has no links; a null
-id keeps its row, with a class of its own; repeated rows of one id and text are one document; equal sets
-link whatever the order of words; an empty table gives no rows.
+Cases: a null or empty text, or one without words, has no set, is its own class and has no links; where an
+id is null or repeats, rows are numbered, every row is a document of its own and a class is named by the id
+of its first row; sets are compared, so the order of shingles does not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import LOWER, mix, prefix_hash, small_batches, span_hash, stored, text_groups, token_spans
+from multirun.llm.common import LOWER, mix, prefix_hash, row_keys, small_batches, span_hash, stored, text_groups, token_spans
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, LABEL = 20, 8
@@ -294,7 +294,7 @@ def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) ->
             out = [s.view(np.int64) for s in shingles(data, off, words)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["rep", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(family.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(family.select("rep"), "rep", "left_semi")
     held = texts.mapInArrow(sets, "rep bigint, set array<bigint>").join(sized, "rep")
     # block i meets every block j >= i: a row goes to one task per block of its family
     tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -334,9 +334,20 @@ def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) ->
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (least id of the group linked to it), ``set_id`` (least id
     with an equal set) and ``n_links`` (other documents at or above the threshold)."""
+    rows, odd = row_keys(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "_row")
+    out = linked(rows.select(F.col("_row").alias("doc_id"), "text"), threshold, words)
+    if not odd:
+        return out
+    for c in ("doc_id", "class_id", "set_id"):
+        out = out.join(rows.select(F.col("_row").alias(c), F.col("doc_id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    return out.select("doc_id", "class_id", "set_id", "n_links")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """As join, for unique ids without nulls."""
     small_batches(docs.sparkSession)
     sig = stored(signatures(docs, depth(threshold), words), "signatures")
-    keyed = sig.where("key is not null and doc_id is not null").select("doc_id", "key", "n", "labels", "sketch").dropDuplicates(["doc_id", "key"])
+    keyed = sig.where("key is not null")
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
     member = stored(keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "rep", "weight", "n"), "members")
     reps = keyed.join(member.where("doc_id = rep").select(F.col("doc_id"), "weight"), "doc_id").select(F.col("doc_id").alias("rep"), "labels", "sketch")
@@ -351,5 +362,5 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> D
     out = member.join(info, "rep", "left").select(
         "doc_id", F.coalesce("g", "rep").alias("class_id"), F.col("rep").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links")
     )
-    alone = sig.where("key is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("bigint").alias("n_links"))
+    alone = sig.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(alone)

@@ -54,7 +54,7 @@ class Boosted:
             out[left], out[~left] = of(n.left, at[left]), of(n.right, at[~left])
             return out
 
-        return self.base + sum(of(t, np.arange(len(rows))) for t in self.trees)
+        return self.base + sum((of(t, np.arange(len(rows))) for t in self.trees), np.zeros(len(rows)))
 
 
 def counts(sample: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +105,9 @@ def fit(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, names: list[str], trees
 
 
 def threshold(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float) -> float:
-    """The least score from which on the share of positives is at least ``precision``; infinite if there is none."""
+    """The least score, of even odds or better, from which on the share of positives is at least ``precision``; infinite if there is none."""
     order = np.argsort(-score, kind="stable")
     s, p, n = score[order], np.cumsum(pos[order]), np.cumsum(neg[order])
     last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
     good = np.flatnonzero(last & (p > 0) & (p >= precision * (p + n)))
-    return float(s[good[-1]]) - 1e-6 if len(good) else float("inf")
+    return max(0.0, float(s[good[-1]]) - 1e-6) if len(good) else float("inf")

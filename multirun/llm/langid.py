@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import GROUP_BYTES, bounded_sample, groups, small_batches, stored
+from multirun.llm.common import GROUP_BYTES, bounded_sample, groups, own_columns, small_batches, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -96,6 +96,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#:]*)", 1))
 
 
+def declared_in(html: Column) -> Column:
+    """The language tag of a page's html element; null where it has none."""
+    tag = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    return F.when(tag != "", tag)
+
+
 def domain_of(host: Column) -> Column:
     """The last two labels of a host name."""
     return F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)
@@ -175,6 +181,6 @@ def identify(
     out = out.withColumn(f"{prefix}r", fuse(F.col(text), tag, suffix, F.col(f"{prefix}prior")))
     lang, conf = F.col(f"{prefix}r.lang"), F.col(f"{prefix}r.confidence")
     return out.select(
-        *(F.col(f"`{c}`") for c in df.columns), lang.alias(f"{prefix}lang"), conf.alias(f"{prefix}confidence"),
+        *own_columns(df, f"{prefix}lang", f"{prefix}confidence", f"{prefix}rejected"), lang.alias(f"{prefix}lang"), conf.alias(f"{prefix}confidence"),
         (~lang.isin(*accepted) | (conf < least)).alias(f"{prefix}rejected"),
     )

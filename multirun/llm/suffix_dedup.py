@@ -29,11 +29,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import mix, powers, prefix_hash, small_batches, span_hash, stored, text_groups
-from multirun.llm.common import STEP_INVERSE
+from multirun.llm.common import STEP_INVERSE, mix, odd_ids, powers, prefix_hash, small_batches, span_hash, stored, text_groups
 
 LENGTH, GRAM = 100, 32
 #: Grams in a string of LENGTH bytes.
@@ -333,15 +332,15 @@ def _kept(batches):
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    odd = d.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     names = None
-    if odd.isEmpty():
+    if not odd_ids(d):
         d = d.withColumnRenamed("doc_id", "doc")
     else:
-        # ids that do not name a row: documents are numbered by id and text, each distinct one once
-        d = d.withColumn("h", F.sha2("text", 256))
-        order = Window.orderBy(F.col("doc_id").asc_nulls_first(), "text")
-        numbered = stored(d.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("times")).withColumn("doc", F.row_number().over(order).cast("bigint")), "numbered")
+        # ids that do not name a row: distinct documents are numbered in order of id and text; numbers grow with the range partition
+        n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        once = d.withColumn("h", F.sha2("text", 256)).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        once = once.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("doc", F.monotonically_increasing_id())
+        numbered = stored(once, "numbered")
         names, d = numbered.select("doc", "doc_id", "times"), numbered.select("doc", "text")
     small_batches(docs.sparkSession)
     m = marks(d).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("m"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from multirun.llm import gbt
-from multirun.llm.common import bounded_sample
+from multirun.llm.common import bounded_sample, own_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled URLs the trees are fitted on, at most; drawn by hash over the whole labelled table.
@@ -115,6 +115,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], fitted: tuple, url: st
     limit = model.thresholds.get("block", float("inf"))
     by_trees = F.when(s >= F.lit(limit), "block").otherwise("allow") if np.isfinite(limit) else F.lit("allow")
     return pages.select(
-        *(F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")),
+        *own_columns(pages, "host", "path", "rule", "verdict", "score"),
         host(u).alias("host"), path(u).alias("path"), which.alias("rule"), F.coalesce(verdict, by_trees).alias("verdict"), F.round(s, 4).alias("score"),
     )
