@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once, but for a single longer document.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 #: Bytes that belong to words: letters and digits of ASCII and every byte of a longer UTF-8 sequence.
 WORD_BYTE = np.zeros(256, bool)
@@ -22,6 +25,29 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: What a worker keeps between tasks, by the kind of work that uses it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(kind: str, clear: Callable[[], None]) -> None:
+    """Registers how to drop what a worker keeps for one kind of work."""
+    _KEPT[kind] = clear
+
+
+def fresh(kind: str) -> None:
+    """At a task's begin and end: drops what other kinds of work have kept, and gives free memory back.
+
+    Workers are reused from stage to stage; without this each holds the largest stage's memory for good.
+    """
+    for other, clear in _KEPT.items():
+        if other != kind:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share; a local one only where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="multirun-")
@@ -35,7 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, limit: str = "4m") -> None:
+def small_batches(spark: SparkSession, limit: str = "2m") -> None:
     """Arrow batches of a few MB instead of Spark's default of 64: a task holds one beside its working arrays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, "67108864b") in ("67108864b", "64m", "64MB"):
@@ -97,12 +123,14 @@ def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def text_groups(batches, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of Arrow batches with their bytes and offsets, bounded by ``GROUP_BYTES``."""
+def text_groups(batches, column: str = "text", limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of Arrow batches with their bytes and offsets, bounded by ``limit``."""
+    fresh("text")
     for b in batches:
         data, off = text_bytes(b.column(b.schema.get_field_index(column)))
-        for i, j in groups(off):
+        for i, j in groups(off, limit):
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
+    fresh("text")
 
 
 def token_spans(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +156,7 @@ BYTE_MIX = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 STEP = 0x9E3779B97F4A7C15
 STEP_INVERSE = pow(STEP, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+keep("text", _POWERS.clear)
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -27,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import LOWER, small_batches, stored, text_groups, token_spans
+from multirun.llm.common import LOWER, fresh, small_batches, stored, text_groups, token_spans
 
 WINDOW = 10
 #: Positions between two documents of a shard; more than any window or proximity reach.
 GAP = 64
+#: Bytes of text in a shard, but for a longer document.
+SHARD_BYTES = 2 << 20
 #: Words of search phrases sent to tasks at once.
 BLOCK_WORDS = 2_000_000
 
@@ -54,7 +56,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     small_batches(docs.sparkSession)
 
     def f(batches):
-        for b, data, off in text_groups(batches):
+        for b, data, off in text_groups(batches, limit=SHARD_BYTES):
             low = LOWER[data]
             starts, ends, cut = token_spans(low, off)
             words = np.diff(cut)
@@ -199,8 +201,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: i
         shared = spark.sparkContext.broadcast(phrases)
 
         def f(batches):
+            fresh("index")
             for b in batches:
-                for row in b.to_pylist():
+                for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
                     s = Shard(row)
                     spans, found = _hits(s, shared.value)
                     cols = [s.doc_ids, s.words.tolist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import LOWER, mix, prefix_hash, row_keys, small_batches, span_hash, stored, text_groups, token_spans
+from multirun.llm.common import LOWER, fresh, mix, prefix_hash, row_keys, small_batches, span_hash, stored, text_groups, token_spans
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, LABEL = 20, 8
@@ -193,6 +193,7 @@ def bucket_links(reps: DataFrame) -> DataFrame:
     rows = rows.repartition(n, "label").sortWithinPartitions("label", "rep")
 
     def f(batches):
+        fresh("text")
         label, group = None, Leaders()
         waiting: tuple[list, list] = ([], [])
 
@@ -301,6 +302,7 @@ def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) ->
     held = held.select("rep", "root", "weight", "set", "block", F.explode(tiles).alias("t")).select("rep", "root", "weight", "set", "block", "t.i", "t.j")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        fresh("pairs")
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         pdf = pdf.sort_values("rep").reset_index(drop=True)
         own = np.flatnonzero((pdf["block"] == i).to_numpy())

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import GROUP_BYTES, bounded_sample, groups, own_columns, small_batches, stored
+from multirun.llm.common import GROUP_BYTES, bounded_sample, fresh, groups, own_columns, small_batches, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -110,6 +110,7 @@ def domain_of(host: Column) -> Column:
 def score_udf(model: Model):
     @F.pandas_udf("array<double>")
     def f(t: pd.Series) -> pd.Series:
+        fresh("language")
         return pd.Series(list(model.scores(t.tolist())))
 
     return f
@@ -160,6 +161,7 @@ def identify(
 
     @F.pandas_udf("lang string, confidence double")
     def fuse(texts: pd.Series, tags: pd.Series, suffixes: pd.Series, prior: pd.Series) -> pd.DataFrame:
+        fresh("language")
         s = model.scores(texts.tolist())
         has = (s < 0).any(axis=1)
         base = np.asarray([whole if p is None else p for p in prior])

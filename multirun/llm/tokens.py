@@ -13,6 +13,8 @@ import re
 import sys
 from array import array
 
+from multirun.llm.common import fresh, keep
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a worker before the ones not used again are dropped; as many older ones stay beside them.
@@ -78,10 +80,12 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+keep("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, drops_space: bool = False) -> Encoder:
-    """One per worker process and vocabulary file."""
+    """One per worker process and vocabulary file, kept from task to task."""
+    fresh("tokens")
     key = (path, drops_space)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, drops_space)
