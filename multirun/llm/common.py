@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,7 @@ LOWER[65:91] += 32
 
 #: What a worker keeps between tasks, by the kind of work that uses it.
 _KEPT: dict[str, Callable[[], None]] = {}
+_LAST: dict = {}
 
 
 def keep(kind: str, clear: Callable[[], None]) -> None:
@@ -38,7 +40,12 @@ def fresh(kind: str) -> None:
     """At a task's begin and end: drops what other kinds of work have kept, and gives free memory back.
 
     Workers are reused from stage to stage; without this each holds the largest stage's memory for good.
+    Inside one kind of work it is done every few seconds at most.
     """
+    now = time.monotonic()
+    if _LAST.get("kind") == kind and now - _LAST["at"] < 5:
+        return
+    _LAST.update(kind=kind, at=now)
     for other, clear in _KEPT.items():
         if other != kind:
             clear()
