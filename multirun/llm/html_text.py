@@ -9,17 +9,20 @@ longer (the one before on ties); their lines are aligned by a longest common sub
 outside an article are deleted: what two pages of a host share is the host's, not the page's. Lines inside
 an article are kept, since a copy of an article is still its text; pages without one depend on the pairing.
 
-Pages are ordered by range partitions over host, path and id, so a host of any size is spread over tasks
-and the page content moves once; a page at a task's edge is paired with the neighbour that it has there.
+Pages are dealt to ranges of host, path and id, so a host of any size is spread over tasks. The first and
+the last page of each range also travel to the range beside it, as guests that are compared with and give no
+row; a page so has the neighbours that it has in the whole table, however many tasks there are.
 
 Cases: null or empty html has no text; a null URL has an empty host and path; unclosed elements end with
 their parents; broken references stay as written; a page with no neighbour keeps all its lines; repeated
-pages delete nothing inside articles; an empty table gives no rows.
+pages delete nothing inside articles, and are ordered by their content where all else is equal; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 from os.path import commonprefix
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import small_batches
+from multirun.llm.common import bounded_sample, small_batches
 from multirun.llm.urls import host, path
 
 #: Elements that begin and end a block, that hold no text of the page, and that have no end (fixed values of HTML).
@@ -144,13 +147,73 @@ def text_of(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -
 
 
 OUT = "page_id bigint, url string, text string, n_chars bigint"
+#: Ranges of pages per task, and sampled keys per task that the ranges are cut by (on the driver, about 100 bytes each).
+RANGES, SAMPLE_KEYS = 4, 16
+ENDS = "b int, h string, p string, i bigint"
+DEALT = "b int, guest boolean, h string, p string, i bigint, url string, html string"
+
+
+def _key(h: str, p: str, i: int | None) -> tuple:
+    """Host, path and id, ordered as Spark orders them: null ids first."""
+    return h, p, i is not None, i or 0
+
+
+def cut_keys(keys: list[tuple], ranges: int) -> list[tuple]:
+    """Keys that cut the sampled ones into about equal ranges; each is the first of its range."""
+    found = sorted(set(keys))
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
+
+
+def _ends(cuts: list[tuple]):
+    """The first and the last key that a task has of each range."""
+
+    def f(batches):
+        ends: dict[int, tuple] = {}
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                key = _key(*row)
+                at = bisect_right(cuts, key)
+                low, high = ends.get(at, ((key, row),) * 2)
+                ends[at] = min(low, (key, row), key=lambda x: x[0]), max(high, (key, row), key=lambda x: x[0])
+        rows = [(at, *row) for at, both in ends.items() for _, row in both]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["b", "h", "p", "i"])
+
+    return f
+
+
+def _dealt(cuts: list[tuple], guests: dict[tuple, list[int]]):
+    """Every page with its range, and pages at a range's end once more for the range beside it; equal ones once a task."""
+
+    def f(batches):
+        sent: set = set()
+        for b in batches:
+            take, ranges, guest = [], [], []
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                key = _key(*row)
+                take.append(k)
+                ranges.append(bisect_right(cuts, key))
+                guest.append(False)
+                for to in guests.get(key, ()):
+                    same = to, key, hash(b.column(4)[k].as_py())
+                    if same not in sent:
+                        sent.add(same)
+                        take.append(k)
+                        ranges.append(to)
+                        guest.append(True)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ranges, pa.int32()), pa.array(guest, pa.bool_()), *(b.column(c).take(at) for c in range(5))], names=["b", "guest", "h", "p", "i", "url", "html"]
+            )
+
+    return f
 
 
 def _paired(batches) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
-            for h, p, i, u, t in zip(*(b.column(k) for k in range(5)), strict=True):
-                yield h.as_py(), p.as_py(), i.as_py(), u.as_py(), lines(t.as_py())
+            for at, guest, h, p, i, u, t in zip(*(b.column(k) for k in range(7)), strict=True):
+                yield h.as_py(), p.as_py(), i.as_py(), u.as_py(), lines(t.as_py()), at.as_py(), guest.as_py()
 
     before = now = None
     ready: list[tuple] = []
@@ -161,7 +224,9 @@ def _paired(batches) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
 
     def finish(after):
-        near = [x for x in (before, after) if x is not None and x[0] == now[0]]
+        if now[6]:
+            return
+        near = [x for x in (before, after) if x is not None and x[0] == now[0] and x[5] == now[5]]
         best = max(near, key=lambda x: len(commonprefix([x[1], now[1]])), default=None)
         text = text_of(now[4], best and best[4])
         ready.append((now[2], now[3], text, len(text)))
@@ -181,6 +246,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
     small_batches(pages.sparkSession)
     u = F.col("url")
-    p = pages.select(host(u).alias("h"), path(u).alias("p"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    p = pages.select(host(u).alias("h"), path(u).alias("p"), F.col("page_id").cast("bigint").alias("i"), "url", "html")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return p.repartitionByRange(n, "h", "p", "page_id").sortWithinPartitions("h", "p", "page_id").mapInArrow(_paired, OUT)
+    keys = p.select("h", "p", "i")
+    sample = bounded_sample(keys.withColumn("_r", F.xxhash64("h", "p", "i")), "_r", SAMPLE_KEYS * n).collect()
+    cuts = cut_keys([_key(r["h"], r["p"], r["i"]) for r in sample], RANGES * n)
+    key = F.struct("h", "p", "i")
+    # one row per range
+    ends = keys.mapInArrow(_ends(cuts), ENDS).groupBy("b").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    guests: dict[tuple, list[int]] = {}
+    for r in ends:
+        if r["b"] > 0:
+            guests.setdefault(_key(*r["first"]), []).append(r["b"] - 1)
+        if r["b"] < len(cuts):
+            guests.setdefault(_key(*r["last"]), []).append(r["b"] + 1)
+    rows = p.mapInArrow(_dealt(cuts, guests), DEALT).repartition(n, "b")
+    # the hash orders pages that repeat an id
+    rows = rows.sortWithinPartitions("b", "h", "p", "i", F.xxhash64("html"))
+    return rows.select("b", "guest", "h", "p", "i", "url", "html").mapInArrow(_paired, OUT)

@@ -288,6 +288,21 @@ def test_html_without_articles_is_differenced(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_pairs_do_not_depend_on_tasks(spark):
+    rng = random.Random(7)
+    div = lambda: f"<div>{rng.choice(['menu', 'join us', 'legal', 'about', f'own {rng.random()}'])}</div>"
+    data = [(i, f"http://h{i % 7 and 1}/{rng.randrange(9)}/{rng.randrange(60)}", "".join(div() for _ in range(6))) for i in range(150)]
+    data += [(None, "http://h1/3/3", "<div>menu</div>"), (None, "http://h1/3/3", "<div>about</div><div>menu</div>"), (None, None, None), *data[:20]]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in ("1", "4", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(repr, html_text.extract(df.repartition(3)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert len(got[0]) == len(data) and got[0] == got[1] == got[2]
+
+
 def test_html_structure():
     own = lambda s: " ".join(x for x, _ in html_text.lines(s))
     assert own("<nav>a<article><header><h1>T</h1></header>b<script>x</p></script>c<!-- d --></article><footer>e") == "T bc"
