@@ -20,7 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pieces remembered by a worker before the ones not used again are dropped; as many older ones stay beside them.
 MEMORY = 250_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-UNSURE = re.compile(rf"[^ -~\n{LETTER}]|<\|")
+#: Latin-1 bytes of the texts that are split here.
+SURE = "".join(chr(c) for c in range(256) if re.match(rf"[ -~\n{LETTER}]", chr(c))).encode("latin-1")
 CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The vocabularies' splitting patterns for that alphabet (fixed values).
 PIECES = {
@@ -57,6 +58,15 @@ class Memory(dict):
         return ids
 
 
+def sure(text: str) -> bool:
+    """Whether a text holds nothing but ASCII and Latin-1 letters, and no mark of a special token."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return b"<|" not in raw and not raw.translate(None, SURE)
+
+
 class Encoder:
     def __init__(self, path: str, drops_space: bool = False):
         """``drops_space``: the vocabulary lowers letters and ignores white space."""
@@ -71,7 +81,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers; a null or empty text has none."""
         if not text:
             return b""
-        if UNSURE.search(text):
+        if not sure(text):
             ids = array("I", self.tok.encode(text, add_special_tokens=False).ids)
             if sys.byteorder == "big":
                 ids.byteswap()
