@@ -147,8 +147,8 @@ def text_of(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -
 
 
 OUT = "page_id bigint, url string, text string, n_chars bigint"
-#: Ranges of pages per task, and sampled keys per task that the ranges are cut by (on the driver, about 100 bytes each).
-RANGES, SAMPLE_KEYS = 4, 16
+#: Sampled keys per task that the tasks' ranges are cut by (on the driver, about 100 bytes each).
+SAMPLE_KEYS = 40
 ENDS = "b int, h string, p string, i bigint"
 DEALT = "b int, guest boolean, h string, p string, i bigint, url string, html string"
 
@@ -250,7 +250,7 @@ def extract(pages: DataFrame) -> DataFrame:
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = p.select("h", "p", "i")
     sample = bounded_sample(keys.withColumn("_r", F.xxhash64("h", "p", "i")), "_r", SAMPLE_KEYS * n).collect()
-    cuts = cut_keys([_key(r["h"], r["p"], r["i"]) for r in sample], RANGES * n)
+    cuts = cut_keys([_key(r["h"], r["p"], r["i"]) for r in sample], n)
     key = F.struct("h", "p", "i")
     # one row per range
     ends = keys.mapInArrow(_ends(cuts), ENDS).groupBy("b").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
@@ -260,7 +260,7 @@ def extract(pages: DataFrame) -> DataFrame:
             guests.setdefault(_key(*r["first"]), []).append(r["b"] - 1)
         if r["b"] < len(cuts):
             guests.setdefault(_key(*r["last"]), []).append(r["b"] + 1)
-    rows = p.mapInArrow(_dealt(cuts, guests), DEALT).repartition(n, "b")
+    rows = p.mapInArrow(_dealt(cuts, guests), DEALT).repartitionById(n, "b")
     # the hash orders pages that repeat an id
     rows = rows.sortWithinPartitions("b", "h", "p", "i", F.xxhash64("html"))
     return rows.select("b", "guest", "h", "p", "i", "url", "html").mapInArrow(_paired, OUT)
