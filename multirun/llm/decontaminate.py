@@ -243,7 +243,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: i
 
 def near(docs: DataFrame, phrases: list[list[str]], reach: int) -> DataFrame:
     """Proximity matches ``(doc_id, phrase, position)``: places where a phrase's words stand within ``reach`` words of its rarest one."""
-    wanted = [tuple(w.lower().encode() for w in p) for p in phrases]
+    wanted = [tuple(words_of(" ".join(p))) for p in phrases]
 
     def f(batches):
         for b in batches:

@@ -137,6 +137,8 @@ def test_proximity(spark):
     df = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "red"), (4, "blue blue")], "doc_id long, text string")
     got = {r.doc_id for r in decontaminate.near(df, [["red", "blue"]], 3).collect()}
     assert got == {1}
+    df = spark.createDataFrame([(1, "DER Ärger kommt"), (2, "der ärger kommt")], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.near(df, [["Der", "Ärger"]], 3).collect()} == {1}
 
 
 # --- op4
