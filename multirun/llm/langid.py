@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +80,25 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = SAMPLE_ROWS) -> Model:
-    """Counts trigrams on at most ``rows`` labelled rows, drawn by the hash of their text from the whole table."""
+    """Counts trigrams on at most ``rows`` labelled rows, drawn by the hash of their text from the whole table.
+
+    Texts are counted in a task; the driver gets one array of counts per task and language.
+    """
+    small_batches(labelled.sparkSession)
     pick = labelled.where(F.col(label).isin(*languages) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    sample = bounded_sample(pick, "t", rows).collect()
+
+    def count(batches):
+        fresh("language")
+        own = np.zeros((len(languages), BUCKETS), np.int64)
+        for b in batches:
+            for t, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own[languages.index(lang)] += np.bincount(trigrams(np.frombuffer(b" " + t.as_py().encode() + b"  ", np.uint8)), minlength=BUCKETS)
+        seen = np.flatnonzero(own.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([own[i].astype("<i8").tobytes() for i in seen], pa.binary())], names=["l", "counts"])
+
     counts = np.zeros((len(languages) + 1, BUCKETS))
-    for r in sample:
-        counts[languages.index(r["l"])] += np.bincount(trigrams(np.frombuffer(b" " + r["t"].encode() + b"  ", np.uint8)), minlength=BUCKETS)
+    for r in bounded_sample(pick, "t", rows).mapInArrow(count, "l int, counts binary").collect():
+        counts[r["l"]] += np.frombuffer(r["counts"], "<i8")
     counts[:, 0] = 0
     logs = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
     logs[-1] = np.log(1.0 / BUCKETS)
