@@ -4,23 +4,25 @@ A page becomes lines, one per block, with what its markup says to leave out gone
 footers of the page, asides, forms, scripts, styles, and elements whose class, id or role names an advert,
 a notice, a menu, a sidebar or comments. Lines inside an article or main element are marked as its own.
 
-Pages are ordered by host and path. Each is paired with the neighbour whose path agrees with its own for
-longer (the one before on ties); their lines are aligned by a longest common subsequence, and shared lines
-outside an article are deleted: what two pages of a host share is the host's, not the page's. Lines inside
-an article are kept, since a copy of an article is still its text; pages without one depend on the pairing.
+Pages are ordered by host and path. Each is paired with the nearest page on either side whose lines are not
+the same as its own, the one whose path agrees with its own for longer (the one before on ties); copies are
+looked past, since a page less its copy is nothing. The pair's lines are aligned by a longest common
+subsequence, and shared lines outside an article are deleted: what two different pages of a host share is
+the host's, not the page's. Lines inside an article are kept; pages without one depend on the pairing.
 
-Pages are dealt to ranges of host, path and id, so a host of any size is spread over tasks. The first and
-the last page of each range also travel to the range beside it, as guests that are compared with and give no
-row; a page so has the neighbours that it has in the whole table, however many tasks there are.
+Pages are dealt to ranges of host, path and id, so a host of any size is spread over tasks. The page next to
+each range, and the nearest one of another content, also travel to it, as guests that are compared with and
+give no row; a page so has the partner that it has in the whole table, however many tasks there are.
 
 Cases: null or empty html has no text; a null URL has an empty host and path; unclosed elements end with
-their parents; broken references stay as written; a page with no neighbour keeps all its lines; repeated
-pages delete nothing inside articles, and are ordered by their content where all else is equal; an empty
-table gives no rows.
+their parents; broken references stay as written; a page with no other page but copies on its host keeps all its
+lines; pages that repeat an id are ordered by their content where all else is equal; an empty table gives no
+rows. A page that only nearly repeats another is no copy of it and may be its partner.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -149,13 +151,20 @@ def text_of(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -
 OUT = "page_id bigint, url string, text string, n_chars bigint"
 #: Sampled keys per task that the tasks' ranges are cut by (on the driver, about 100 bytes each).
 SAMPLE_KEYS = 40
-ENDS = "b int, h string, p string, i bigint"
-DEALT = "b int, guest boolean, h string, p string, i bigint, url string, html string"
+KEY = "h string, p string, i bigint, x bigint"
+ENDS = f"b int, c binary, {KEY}"
+DEALT = f"b int, guest boolean, {KEY}, url string, html string"
+KEY_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64()]
 
 
-def _key(h: str, p: str, i: int | None) -> tuple:
-    """Host, path and id, ordered as Spark orders them: null ids first."""
-    return h, p, i is not None, i or 0
+def _key(h: str, p: str, i: int | None, *x: int) -> tuple:
+    """Host, path and id, ordered as Spark orders them: null ids first; then the content's hash, where it is given."""
+    return h, p, i is not None, i or 0, *x
+
+
+def content(page: list[tuple[str, bool]]) -> bytes:
+    """Names a page's lines; equal for copies, whatever their markup or address."""
+    return hashlib.sha256("\n".join(x for x, _ in page).encode("utf-8", "surrogatepass")).digest()[:16]
 
 
 def cut_keys(keys: list[tuple], ranges: int) -> list[tuple]:
@@ -164,46 +173,74 @@ def cut_keys(keys: list[tuple], ranges: int) -> list[tuple]:
     return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
 
 
+def outer(found: list[tuple]) -> list[tuple]:
+    """Of ``(key, content, ...)`` from a range's end inwards: the first, and the first of another content."""
+    return found[:1] + [x for x in found if x[1] != found[0][1]][:1]
+
+
 def _ends(cuts: list[tuple]):
-    """The first and the last key that a task has of each range."""
+    """At both ends of each range, a task's outermost page and its outermost page of another content."""
 
     def f(batches):
-        ends: dict[int, tuple] = {}
+        low: dict[int, list[tuple]] = {}
+        high: dict[int, list[tuple]] = {}
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for h, p, i, x, t in zip(*(b.column(k) for k in range(5)), strict=True):
+                row = h.as_py(), p.as_py(), i.as_py(), x.as_py()
                 key = _key(*row)
-                at = bisect_right(cuts, key)
-                low, high = ends.get(at, ((key, row),) * 2)
-                ends[at] = min(low, (key, row), key=lambda x: x[0]), max(high, (key, row), key=lambda x: x[0])
-        rows = [(at, *row) for at, both in ends.items() for _, row in both]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["b", "h", "p", "i"])
+                at = bisect_right(cuts, key[:4])
+                mine, yours = low.get(at, []), high.get(at, [])
+                # a page between two of two contents at either end is at no end
+                if len(mine) == len(yours) == 2 and mine[1][0] <= key <= yours[1][0]:
+                    continue
+                one = key, content(lines(t.as_py())), row
+                low[at] = outer(sorted([*mine, one], key=lambda x: x[0]))
+                high[at] = outer(sorted([*yours, one], key=lambda x: x[0], reverse=True))
+        rows = [(at, c, *row) for side in (low, high) for at, found in side.items() for _, c, row in found]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.binary(), *KEY_TYPES], strict=True)], names=["b", "c", "h", "p", "i", "x"])
 
     return f
 
 
+def guests_of(ends: list[tuple[int, list[tuple], list[tuple]]]) -> dict[tuple, list[int]]:
+    """Ranges that a page travels to. ``ends`` has ``(range, first, last)``, with ``outer`` pages of both ends.
+
+    A range gets the nearest page before and after it and the nearest of another content than that one's, from
+    however far: a page at the range's end, and its copies, so meet the page next to them that is no copy.
+    """
+    guests: dict[tuple, list[int]] = {}
+    ends = sorted(ends, key=lambda e: e[0])
+    for order, side in ((ends, 2), (ends[::-1], 1)):
+        near: list[tuple] = []
+        for e in order:
+            for key, _ in near:
+                guests.setdefault(key, []).append(e[0])
+            near = outer([*e[side], *near])
+    return guests
+
+
 def _dealt(cuts: list[tuple], guests: dict[tuple, list[int]]):
-    """Every page with its range, and pages at a range's end once more for the range beside it; equal ones once a task."""
+    """Every page with its range, and guests once more for each range they travel to; equal ones once a task."""
 
     def f(batches):
         sent: set = set()
         for b in batches:
             take, ranges, guest = [], [], []
-            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
                 key = _key(*row)
                 take.append(k)
-                ranges.append(bisect_right(cuts, key))
+                ranges.append(bisect_right(cuts, key[:4]))
                 guest.append(False)
                 for to in guests.get(key, ()):
-                    same = to, key, hash(b.column(4)[k].as_py())
-                    if same not in sent:
-                        sent.add(same)
+                    if (to, key) not in sent:
+                        sent.add((to, key))
                         take.append(k)
                         ranges.append(to)
                         guest.append(True)
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ranges, pa.int32()), pa.array(guest, pa.bool_()), *(b.column(c).take(at) for c in range(5))], names=["b", "guest", "h", "p", "i", "url", "html"]
+                [pa.array(ranges, pa.int32()), pa.array(guest, pa.bool_()), *(b.column(c).take(at) for c in range(6))], names=["b", "guest", "h", "p", "i", "x", "url", "html"]
             )
 
     return f
@@ -213,9 +250,8 @@ def _paired(batches) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
             for at, guest, h, p, i, u, t in zip(*(b.column(k) for k in range(7)), strict=True):
-                yield h.as_py(), p.as_py(), i.as_py(), u.as_py(), lines(t.as_py()), at.as_py(), guest.as_py()
+                yield (at.as_py(), h.as_py()), p.as_py(), lines(t.as_py()), None if guest.as_py() else (i.as_py(), u.as_py())
 
-    before = now = None
     ready: list[tuple] = []
 
     def batch():
@@ -223,22 +259,32 @@ def _paired(batches) -> Iterator[pa.RecordBatch]:
         ready.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
 
-    def finish(after):
-        if now[6]:
-            return
-        near = [x for x in (before, after) if x is not None and x[0] == now[0] and x[5] == now[5]]
-        best = max(near, key=lambda x: len(commonprefix([x[1], now[1]])), default=None)
-        text = text_of(now[4], best and best[4])
-        ready.append((now[2], now[3], text, len(text)))
+    # copies that follow each other are held until the page after them is known: their lines once, and before, the page before them
+    copies: list[tuple] = []
+    before = None
 
-    for r in rows():
-        if now is not None:
-            finish(r)
+    def finish(after):
+        near = [x for x in (before, after) if x is not None and x[0] == copies[0][0]]
+        made: tuple = (None, None, None)
+        for _, p, own, out in copies:
+            if out is not None:
+                best = max(near, key=lambda x: len(commonprefix([x[1], p])), default=None)
+                if made[0] is not own or made[1] is not best:
+                    made = own, best, text_of(own, best and best[2])
+                ready.append((*out, made[2], len(made[2])))
             if len(ready) >= 500:
                 yield batch()
-        before, now = now, r
-    if now is not None:
-        finish(None)
+
+    for r in rows():
+        if copies and r[0] == copies[0][0] and [x for x, _ in r[2]] == [x for x, _ in copies[-1][2]]:
+            copies.append((*r[:2], copies[-1][2] if r[2] == copies[-1][2] else r[2], r[3]))
+            continue
+        if copies:
+            yield from finish(r)
+            before = copies[-1]
+        copies = [r]
+    if copies:
+        yield from finish(None)
     yield batch()
 
 
@@ -246,21 +292,17 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
     small_batches(pages.sparkSession)
     u = F.col("url")
-    p = pages.select(host(u).alias("h"), path(u).alias("p"), F.col("page_id").cast("bigint").alias("i"), "url", "html")
+    # the hash orders pages that repeat an id
+    p = pages.select(host(u).alias("h"), path(u).alias("p"), F.col("page_id").cast("bigint").alias("i"), F.xxhash64("html").alias("x"), "url", "html")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = p.select("h", "p", "i")
     sample = bounded_sample(keys.withColumn("_r", F.xxhash64("h", "p", "i")), "_r", SAMPLE_KEYS * n).collect()
     cuts = cut_keys([_key(r["h"], r["p"], r["i"]) for r in sample], n)
-    key = F.struct("h", "p", "i")
-    # one row per range
-    ends = keys.mapInArrow(_ends(cuts), ENDS).groupBy("b").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
-    guests: dict[tuple, list[int]] = {}
-    for r in ends:
-        if r["b"] > 0:
-            guests.setdefault(_key(*r["first"]), []).append(r["b"] - 1)
-        if r["b"] < len(cuts):
-            guests.setdefault(_key(*r["last"]), []).append(r["b"] + 1)
-    rows = p.mapInArrow(_dealt(cuts, guests), DEALT).repartitionById(n, "b")
-    # the hash orders pages that repeat an id
-    rows = rows.sortWithinPartitions("b", "h", "p", "i", F.xxhash64("html"))
+    # two rows per range and end; a content's first and last page of a range are enough to find them
+    key = F.struct("h", "p", "i", "x")
+    found = p.select("h", "p", "i", "x", "html").mapInArrow(_ends(cuts), ENDS).groupBy("b", "c").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    side = lambda k: F.sort_array(F.collect_list(F.struct(k, "c")), k == "first")
+    found = found.groupBy("b").agg(F.slice(side("first"), 1, 2).alias("first"), F.slice(side("last"), 1, 2).alias("last")).collect()
+    guests = guests_of([(r["b"], *([(_key(*e[k]), bytes(e["c"])) for e in r[k]] for k in ("first", "last"))) for r in found])
+    rows = p.mapInArrow(_dealt(cuts, guests), DEALT).repartitionById(n, "b").sortWithinPartitions("b", "h", "p", "i", "x")
     return rows.select("b", "guest", "h", "p", "i", "url", "html").mapInArrow(_paired, OUT)

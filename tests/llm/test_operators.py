@@ -305,6 +305,19 @@ def test_html_pairs_do_not_depend_on_tasks(spark):
     assert len(got[0]) == len(data) and got[0] == got[1] == got[2]
 
 
+def test_html_copies_are_no_partners(spark):
+    page = "<div>menu</div><div>own %s</div><div>legal</div>"
+    data = [(i, f"http://h/a/x?v={i}", page % "x") for i in range(30)] + [(50, "http://h/a/z", page % "z")]
+    data += [(60 + i, f"http://mirror/{i}", page % "m") for i in range(3)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "4", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in html_text.extract(df.repartition(3)).collect()}
+        assert got == {i: "own x" for i in range(30)} | {50: "own z"} | {60 + i: "menu own m legal" for i in range(3)}
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+
+
 def test_html_structure():
     own = lambda s: " ".join(x for x, _ in html_text.lines(s))
     assert own("<nav>a<article><header><h1>T</h1></header>b<script>x</p></script>c<!-- d --></article><footer>e") == "T bc"
