@@ -2,13 +2,15 @@
 
 A page becomes lines, one per block, with what its markup says to leave out gone: navigation, headers and
 footers of the page, asides, forms, scripts, styles, and elements whose class, id or role names an advert,
-a notice, a menu, a sidebar or comments. Lines inside an article or main element are marked as its own.
+a notice, a menu, a sidebar or comments. Lines inside an article or main element are marked as its own. An
+article shows in what is left open before it and in a form or header around it, not inside any other element
+left out: teasers in an aside and comments are no text of the page. A main element shows wherever it stands.
 
 Pages are ordered by host and path. Each is paired with the nearest page on either side whose lines are not
 the same as its own, the one whose path agrees with its own for longer (the one before on ties); copies are
 looked past, since a page less its copy is nothing. The pair's lines are aligned by a longest common
 subsequence, and shared lines outside an article are deleted: what two different pages of a host share is
-the host's, not the page's. Lines inside an article are kept; pages without one depend on the pairing.
+the host's, not the page's. Lines inside an article are never deleted; all others depend on the pairing.
 
 Pages are dealt to ranges of host, path and id, so a host of any size is spread over tasks. The page next to
 each range, and the nearest one of another content, also travel to it, as guests that are compared with and
@@ -44,6 +46,8 @@ BLOCKS = frozenset(
 DROPPED = frozenset("aside button dialog footer form head header menu nav select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OWN = frozenset(["article", "main"])
+#: Left-out elements that may hold a whole page; an article inside one of them is not left out.
+WRAPPING = frozenset(["form", "head", "header"])
 #: Words of a class, id or role that name what is not the article (fixed values).
 NOT_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|"
@@ -56,12 +60,33 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def ended(html: str) -> set[int]:
+    """Where elements begin that an end tag of their own ends."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for m in _TOKEN.finditer(html):
+        name = (m[3] or "").lower()
+        if not name:
+            continue
+        if m[2]:
+            if any(t == name for t, _ in stack):
+                while stack[-1][0] != name:
+                    stack.pop()
+                out.add(stack.pop()[1])
+        elif name not in VOID and not m[4].endswith("/"):
+            if name == "p" and stack and stack[-1][0] == "p":
+                stack.pop()
+            stack.append((name, m.start()))
+    return out
+
+
 def lines(html: str | None) -> list[tuple[str, bool]]:
     """Blocks of a page in order, each with whether it stands inside an article or main element."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each began what is left out
+    stack: list[tuple[str, bool, int, bool]] = []  # open elements, whether each began what is left out, where, and whether it counts as own
     skipping = own = 0
+    closed: set[int] | None = None
 
     def close():
         nonlocal held
@@ -72,9 +97,9 @@ def lines(html: str | None) -> list[tuple[str, bool]]:
 
     def pop():
         nonlocal skipping, own
-        tag, left_out = stack.pop()
+        _, left_out, _, counted = stack.pop()
         skipping -= left_out
-        own -= tag in OWN
+        own -= counted
 
     at, html = 0, html or ""
     for m in _TOKEN.finditer(html):
@@ -87,25 +112,28 @@ def lines(html: str | None) -> list[tuple[str, bool]]:
         if name in BLOCKS:
             close()
         if m[2]:
-            if any(t == name for t, _ in stack):
+            if any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
         if name in VOID or m[4].endswith("/"):
             continue
-        if name in OWN and not own:
-            # an article begins: nothing left open before it can hide it
-            while skipping:
-                pop()
+        if name in OWN and not own and skipping:
+            # an article begins: nothing merely left open before it can hide it, but what is ended after it does
+            closed = ended(html) if closed is None else closed
+            if name == "main" or not any(x[1] and x[0] not in WRAPPING and x[2] in closed for x in stack):
+                while skipping:
+                    pop()
         left_out = name in DROPPED and not (own and name == "header")
         if not left_out and m[4] and name not in ("html", "body"):
             left_out = any(NOT_ARTICLE.search(a or b or c) for a, b, c in _NAMED.findall(m[4]))
         if name == "p" and stack and stack[-1][0] == "p":
             pop()
-        stack.append((name, left_out))
+        counted = name in OWN and not skipping
+        stack.append((name, left_out, m.start(), counted))
         skipping += left_out
-        own += name in OWN
+        own += counted
     if not skipping and at < len(html):
         held.append(html[at:])
     close()
@@ -142,10 +170,9 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 def text_of(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
     """Lines less those shared with the paired page, but for an article's."""
-    if any(kept for _, kept in own):
-        return " ".join(x for x, kept in own if kept)
-    gone = shared([x for x, _ in own], [x for x, _ in other]) if other else set()
-    return " ".join(x for k, (x, _) in enumerate(own) if k not in gone)
+    # nothing to delete: no alignment needed
+    gone = shared([x for x, _ in own], [x for x, _ in other]) if other and not all(kept for _, kept in own) else set()
+    return " ".join(x for k, (x, kept) in enumerate(own) if kept or k not in gone)
 
 
 OUT = "page_id bigint, url string, text string, n_chars bigint"

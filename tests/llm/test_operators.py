@@ -318,6 +318,20 @@ def test_html_copies_are_no_partners(spark):
     spark.conf.set("spark.sql.shuffle.partitions", few)
 
 
+def test_html_lines_beside_an_article_are_differenced(spark):
+    page = "<div>menu</div><div>own %s</div><article>same</article><div>legal</div>"
+    data = [(i, f"http://h/a/{i}", page % f"x{i}") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own x{i} same" for i in range(3)}
+
+
+def test_html_articles_do_not_show_what_holds_them():
+    for a, z in (("<aside>", "</aside>"), ("<nav>", "</nav>"), ("<div class=comments><div>", "</div></div>"), ("<aside><section>", "</section></aside>")):
+        assert html_text.lines(f"<div>main text</div>{a}<article>teaser</article><article>b</article>{z}<p>end") == [("main text", False), ("end", False)]
+        assert html_text.lines(f"{a}<article>teaser</article>{z}<article>main text</article>") == [("main text", True)]
+    assert html_text.lines("<form><nav>m</nav><article>text</article></form>") == [("text", True)]
+
+
 def test_html_structure():
     own = lambda s: " ".join(x for x, _ in html_text.lines(s))
     assert own("<nav>a<article><header><h1>T</h1></header>b<script>x</p></script>c<!-- d --></article><footer>e") == "T bc"
