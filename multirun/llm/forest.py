@@ -1,14 +1,14 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with MinHash bands and exact verification.
 
 A document's set is its distinct runs of five words (all its words if fewer). Documents of equal sets form
 one class with a representative, counted before anything is joined, so copies cost one row each.
 
-Every tree orders the representatives by a label of MinHash values. Documents meet where labels share a
-prefix; the prefix is shortened from the full label until pairs at the threshold meet in some tree with
-the target probability (``depth``). A bucket of equal prefixes is read in sorted order, so deep matches
-stand together, and is covered by leaders: a document is linked to every leader whose sketch is near
-(``NEAR_LINK``), and becomes one if none is very near (``NEAR_COVER``). By the triangle inequality of the
-Jaccard distance two documents at the threshold then share a leader, while a bucket of thousands of copies
+Banding with a fixed depth stands in for an LSH forest: every tree hashes ``depth`` MinHash values of a
+representative into one label, and documents meet where labels are equal. The depth is one for the table, the
+longest at which pairs at the threshold meet in some tree with the target probability; no prefix is shortened
+on its own. A bucket of equal labels is covered by leaders: a document is linked to every leader whose sketch
+is near (``near_link``), and becomes one if none is very near (``NEAR_COVER``). By the triangle inequality of
+the Jaccard distance two documents at the threshold then share a leader, while a bucket of thousands of copies
 has few leaders and as many links as documents, not pairs.
 
 Links join documents into families by a distributed connected-components run. Only documents of a family
@@ -17,7 +17,8 @@ documents, a task gets two blocks, and counts its pairs inside arrays. No pair i
 
 Cases: a null or empty text, or one without words, has no set, is its own class and has no links; where an
 id is null or repeats, rows are numbered, every row is a document of its own and a class is named by the id
-of its first row; sets are compared, so the order of shingles does not matter; an empty table gives no rows.
+of its first row; sets are compared, so the order of shingles does not matter; an empty table gives no rows;
+a threshold too low for the trees to meet the target at any depth (under 0.27), or over 1, is an error.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ TREES, LABEL = 20, 8
 RECALL = 0.998
 #: MinHash values in a sketch, kept as a byte each; the first TREES * depth of TREES * LABEL others make the labels.
 SKETCH = 128
-NEAR_COVER, NEAR_LINK = 0.8, 0.47
+#: Estimated similarity at which a leader covers a document, and what two estimates may err together (2.3 deviations).
+NEAR_COVER, SLACK = 0.8, 0.13
 #: Documents in a block of a family, and shingles, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
@@ -49,11 +51,18 @@ MUL = _RNG.integers(0, 1 << 31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uin
 
 
 def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
-    """The longest prefix at which pairs at the threshold still meet often enough."""
+    """The most values in a label at which pairs at the threshold still meet often enough."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"no Jaccard threshold: {threshold}")
     for k in range(label, 0, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
-    return 1
+    raise ValueError(f"{trees} trees do not find pairs at {threshold} with probability {recall}")
+
+
+def near_link(threshold: float = THRESHOLD) -> float:
+    """Estimated similarity with a leader that no document falls below which is at the threshold with one it covers."""
+    return threshold + NEAR_COVER - 1 - SLACK
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -106,7 +115,7 @@ SETS = "doc_id bigint, key binary, n bigint, labels array<bigint>, sketch binary
 
 
 def signatures(docs: DataFrame, k: int, words: int = WORDS) -> DataFrame:
-    """One row per document: the key of its set, its label prefixes and its sketch; null where there is no set."""
+    """One row per document: the key of its set, its labels and its sketch; null where there is no set."""
 
     def f(batches):
         for b, data, off in text_groups(batches):
@@ -159,8 +168,8 @@ def spanning(links: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
 class Leaders:
     """Covers one bucket by leaders, a chunk of rows at a time."""
 
-    def __init__(self):
-        self.ids, self.sketches = [], []
+    def __init__(self, threshold: float = THRESHOLD):
+        self.ids, self.sketches, self.link = [], [], near_link(threshold)
 
     def take(self, ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
         links = []
@@ -168,12 +177,12 @@ class Leaders:
             part, own = sketches[i : i + 256], ids[i : i + 256]
             est = agree(part, np.asarray(self.sketches)) if self.ids else np.zeros((len(part), 0))
             covered = (est >= NEAR_COVER).any(axis=1)
-            for r, c in zip(*np.nonzero(est >= NEAR_LINK), strict=True):
+            for r, c in zip(*np.nonzero(est >= self.link), strict=True):
                 links.append((int(own[r]), self.ids[c]))
             while not covered.all():
                 r = int(np.argmin(covered))
                 e = agree(part, part[r : r + 1])[:, 0]
-                near = e >= NEAR_LINK
+                near = e >= self.link
                 near[r] = False
                 links += [(int(x), int(own[r])) for x in own[near]]
                 covered |= e >= NEAR_COVER
@@ -183,7 +192,7 @@ class Leaders:
         return links
 
 
-def bucket_links(reps: DataFrame) -> DataFrame:
+def bucket_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct links ``(a, b)`` between representatives that meet in some tree."""
     # labels that no other representative has make no links; only the rest carries sketches
     rows = reps.select("rep", F.explode("labels").alias("label"))
@@ -194,7 +203,7 @@ def bucket_links(reps: DataFrame) -> DataFrame:
 
     def f(batches):
         fresh("text")
-        label, group = None, Leaders()
+        label, group = None, Leaders(threshold)
         waiting: tuple[list, list] = ([], [])
 
         def flush():
@@ -214,7 +223,7 @@ def bucket_links(reps: DataFrame) -> DataFrame:
                     continue
                 if lab[i] != label:
                     links += flush()
-                    label, group = lab[i], Leaders()
+                    label, group = lab[i], Leaders(threshold)
                 waiting[0].extend(ids[i:j].tolist())
                 waiting[1].extend(sk[i:j])
                 if len(waiting[0]) >= 4096:
@@ -353,7 +362,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) ->
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
     member = stored(keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "rep", "weight", "n"), "members")
     reps = keyed.join(member.where("doc_id = rep").select(F.col("doc_id"), "weight"), "doc_id").select(F.col("doc_id").alias("rep"), "labels", "sketch")
-    roots = components(bucket_links(reps)).select(F.col("id").alias("rep"), "root")
+    roots = components(bucket_links(reps, threshold)).select(F.col("id").alias("rep"), "root")
     weights = member.where("doc_id = rep").select("rep", "weight", "n")
     family = stored(roots.join(weights, "rep"), "family")
     found = stored(verify(family, docs, threshold, words), "verified")

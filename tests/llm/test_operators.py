@@ -381,6 +381,39 @@ def test_jaccard_odd_cases(odd, none):
     assert sorted(r.n_links for r in got if r.doc_id in (2, 3)) == [2, 2, 2]
 
 
+def test_leaders_keep_pairs_at_the_threshold():
+    # in sketches, the second agrees with the first in 0.83 and with the third in 0.6; the first and the third in 0.43
+    one = np.zeros(forest.SKETCH, np.uint8)
+    two, three = one.copy(), one.copy()
+    two[:22], three[:22], three[22:73] = 1, 1, 2
+    ids, sketches = np.asarray([1, 2, 3]), np.asarray([one, two, three])
+    assert forest.agree(sketches, sketches)[1, 2] > 0.55 and forest.agree(sketches, sketches)[0, 2] < 0.47
+    assert set(forest.Leaders(0.6).take(ids[:2], sketches[:2])) == {(2, 1)}
+    for threshold in (0.5, 0.6, 0.7):
+        near = forest.near_link(threshold)
+        group = forest.Leaders(threshold)
+        links = group.take(ids, sketches)
+        assert ((3, 1) in links) == (forest.agree(sketches, sketches)[0, 2] >= near) and near <= threshold + forest.NEAR_COVER - 1
+    assert (3, 1) in forest.Leaders(0.6).take(ids, sketches) and abs(forest.near_link() - 0.47) < 1e-9
+
+
+def test_jaccard_join_at_other_thresholds(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    seed, data = [word() for _ in range(100)], []
+    for i in range(60):
+        w = list(seed)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = word()
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in forest.join(df, 0.5).collect()}
+    assert got == brute.near_groups(data, 0.5)
+    for threshold in (0.2, 0, 1.1):
+        with pytest.raises(ValueError):
+            forest.join(df, threshold)
+
+
 def test_forest_depth_meets_its_recall():
     k = forest.depth()
     assert 1 - (1 - 0.8**k) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** forest.TREES
