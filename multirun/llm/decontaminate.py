@@ -7,7 +7,8 @@ are never shuffled: a term's list is spread over shards, which splits frequent t
 
 A phrase is searched in each shard from its rarest term there: that list, less the term's offset, gives
 candidate starts, and the other terms' lists are intersected with it from rare to frequent until none is
-left. Proximity search takes the rarest term's places and asks each other term's list for a place nearby.
+left. A proximity match begins at any of its words and has all of them within its reach, in one document;
+the rarest term only says where to look, so matches do not depend on what else a shard holds.
 
 Search phrases are sent to tasks in blocks of a bounded number of words, one search over the index each.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from multirun.llm.common import LOWER, fresh, small_batches, stored, text_groups, token_spans
 
 WINDOW = 10
-#: Positions between two documents of a shard; more than any window or proximity reach.
+#: Positions between two documents of a shard, so that no phrase runs over their border.
 GAP = 64
 #: Bytes of text in a shard, but for a longer document.
 SHARD_BYTES = 2 << 20
@@ -123,15 +124,24 @@ class Shard:
         return at
 
     def near(self, words: tuple[bytes, ...], reach: int) -> np.ndarray:
-        """Positions of the rarest word with every other word at most ``reach`` positions away; ``reach`` stays below GAP."""
+        """Ascending positions of any of the words from which all of them stand within ``reach`` positions, in one document."""
         words = tuple(sorted(set(words), key=self.size))
-        if not words or reach >= GAP or self.size(words[0]) == 0:
+        if not words or reach < 0 or self.size(words[0]) == 0:
             return np.zeros(0, np.int64)
-        at = self.postings(words[0])
-        for w in words[1:]:
+        # the rarest word only says where to look: a match begins at most ``reach`` before it, or at it
+        rare, starts = self.postings(words[0]), []
+        for w in words:
             p = self.postings(w)
-            i = np.searchsorted(p, at - reach)
-            at = at[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= at + reach)]
+            i = np.searchsorted(rare, p)
+            starts.append(p[rare[np.minimum(i, len(rare) - 1)] - p <= reach] if w != words[0] else p)
+        at = np.sort(np.concatenate(starts))
+        d = self.doc_of(at)
+        last = np.minimum(at + reach, self.first[d] + self.words[d] - 1)
+        for w in words:
+            p = self.postings(w)
+            i = np.searchsorted(p, at)
+            kept = (i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= last)
+            at, last = at[kept], last[kept]
         return at
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
@@ -242,7 +252,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: i
 
 
 def near(docs: DataFrame, phrases: list[list[str]], reach: int) -> DataFrame:
-    """Proximity matches ``(doc_id, phrase, position)``: places where a phrase's words stand within ``reach`` words of its rarest one."""
+    """Proximity matches ``(doc_id, phrase, position)``: places of a phrase's words from which all of its words stand within ``reach`` positions; a repeated word counts once."""
     wanted = [tuple(words_of(" ".join(p))) for p in phrases]
 
     def f(batches):

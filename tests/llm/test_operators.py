@@ -141,6 +141,23 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontaminate.near(df, [["Der", "Ärger"]], 3).collect()} == {1}
 
 
+def test_proximity_does_not_depend_on_the_shard(spark):
+    rng = random.Random(3)
+    data = [(i, " ".join(rng.choice("abcxyzuvw" + "x" * rng.choice([0, 60])) for _ in range(rng.randrange(200)))) for i in range(60)]
+    data += [(100, "b " + "x " * 4 + "a " + "x " * 4 + "c"), (101, "a " + "x " * 99 + "b c"), (102, "a"), (103, "b"), (104, "c"), (105, "")]
+    few = [*data, *[(200 + i, f"{'abc'[i]} " * 3000) for i in range(3)]]
+    for reach in (0, 5, 10, 63, 64, 101, 500):
+        want = {
+            (i, 0, k) for i, t in data for w in [t.split()] for k, x in enumerate(w) if x in "abc" and {"a", "b", "c"} <= set(w[k : k + reach + 1])
+        }
+        for rows in (data, [*few[:63], few[-3]], [*few[:-3], few[-2]], [*data, few[-1]]):
+            for parts in (1, 7):
+                df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts)
+                got = [tuple(r) for r in decontaminate.near(df, [["c", "a", "b"]], reach).collect()]
+                ids = {i for i, _ in rows}
+                assert len(got) == len(set(got)) and set(got) == {x for x in want if x[0] in ids}
+
+
 # --- op4
 
 
