@@ -82,6 +82,15 @@ def dict_runs(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.explode(names).alias("key"), F.col("p_partkey").alias("value"))
 
 
+def staged_orders(orders: DataFrame) -> DataFrame:
+    """Orders as uncommitted operations, after all of the log: each seventh key deletes, the others append."""
+    gone = F.col("o_orderkey") % 7 == 0
+    return orders.select(
+        F.col("o_custkey").alias("key"), (F.col("o_orderkey") + 100000000).alias("seq"), F.lit(0).alias("idx"),
+        F.when(gone, "D").otherwise("A").alias("op"), F.when(~gone, F.col("o_orderpriority")).alias("value"),
+    )
+
+
 def live(spark: SparkSession, d: str, **k) -> DataFrame:
     return V.resolve(event_log(spark, d), **k)
 
@@ -116,13 +125,14 @@ def q_snapshot_read(spark, d):
     f"WITH {LIVE.replace('UNION ALL SELECT user_id', 'UNION ALL SELECT o_custkey, 100000000 + o_orderkey, 0, CASE WHEN o_orderkey % 7 = 0 THEN $$D$$ ELSE $$A$$ END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END FROM orders WHERE o_custkey <= 100 UNION ALL SELECT user_id', 1)} SELECT key, seq, value FROM live"
 )
 def q_dirty_read(spark, d):
-    gone = F.col("o_orderkey") % 7 == 0
-    o = table(spark, d, "orders").where("o_custkey <= 100")
-    staged = o.select(
-        F.col("o_custkey").alias("key"), (F.col("o_orderkey") + 100000000).alias("seq"), F.lit(0).alias("idx"),
-        F.when(gone, "D").otherwise("A").alias("op"), F.when(~gone, F.col("o_orderpriority")).alias("value"),
-    )
-    return live(spark, d, staged=staged).select("key", "seq", "value")
+    return live(spark, d, staged=staged_orders(table(spark, d, "orders").where("o_custkey <= 100"))).select("key", "seq", "value")
+
+
+@query(
+    f"WITH {LIVE.replace('UNION ALL SELECT user_id', 'UNION ALL SELECT o_custkey, 100000000 + o_orderkey, 0, CASE WHEN o_orderkey % 7 = 0 THEN $$D$$ ELSE $$A$$ END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END FROM orders UNION ALL SELECT user_id', 1)} SELECT key, seq, value FROM live"
+)
+def q_dirty_read_all(spark, d):
+    return live(spark, d, staged=staged_orders(table(spark, d, "orders"))).select("key", "seq", "value")
 
 
 @query(f"WITH {LOG} SELECT key, seq, idx, op, value FROM log WHERE key = 7")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from multirun import queries
 from multirun.functions import bytesfn, generators
 from multirun.operators import aggregates, merge, reads, resolve, sets
 from multirun.plans import ranges, suite
@@ -182,3 +183,15 @@ def test_live_counts_stream(spark, tmp_path):
     q.awaitTermination()
     got = {bytes(r.key): r.n for r in spark.table("lc").collect() if r.n}
     assert got == {k: len(v) for k, v in model.items()}
+
+
+def test_dirty_read_stages_every_order(spark):
+    d = "/root/testdata/sf0.001"
+    log = [tuple(r) for r in queries.event_log(spark, d).collect()]
+    log += [(r.o_custkey, 100000000 + r.o_orderkey, 0, *(("A", r.o_orderpriority) if r.o_orderkey % 7 else ("D", None))) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    dels = {}
+    for key, seq, idx, op, _ in log:
+        if op == "D":
+            dels[key] = max(dels.get(key, (-1, 0)), (seq, idx))
+    want = sorted((key, seq, value) for key, seq, idx, op, value in log if op == "A" and (seq, idx) > dels.get(key, (-1, 0)))
+    assert sorted(map(tuple, queries.QUERIES["dirty_read_all"](spark, d).collect())) == want and any(k > 100 and s > 100000000 for k, s, _ in want)
