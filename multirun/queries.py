@@ -244,6 +244,22 @@ def q_count_fixed(spark, d):
     return A.count_fixed(part_runs(spark, d), "absent", 8)
 
 
+#: Types with sizes, all of one width, and brands with names of several.
+WIDTHS = "runs AS (SELECT p_brand AS key, p_name AS value FROM part UNION ALL SELECT p_type, lpad(CAST(p_size AS VARCHAR),2,'0') FROM part)"
+
+
+@query(f"WITH {WIDTHS} SELECT key, CASE WHEN min(strlen(value)) = 2 AND max(strlen(value)) = 2 THEN count(*) END AS n_fixed FROM runs GROUP BY key")
+def q_count_fixed_all(spark, d):
+    kinds = table(spark, d, "part").select(F.col("p_type").alias("key"), F.lpad(F.col("p_size").cast("string"), 2, "0").alias("value"))
+    return A.scan_counts_fixed(part_runs(spark, d).select("key", "value").unionByName(kinds), 2)
+
+
+@query("SELECT o_orderpriority AS key, CASE WHEN min(strlen(o_orderstatus)) = 1 AND max(strlen(o_orderstatus)) = 1 THEN count(*) END AS n_fixed FROM orders GROUP BY 1")
+def q_scan_counts_fixed_all(spark, d):
+    runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("value"))
+    return A.scan_counts_fixed(runs, 1)
+
+
 @query("SELECT o_orderpriority AS key, CASE WHEN min(strlen(o_orderstatus)) = 1 AND max(strlen(o_orderstatus)) = 1 THEN count(*) END AS n_fixed FROM orders GROUP BY 1 ORDER BY 1 LIMIT 3")
 def q_scan_counts_fixed(spark, d):
     runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("value"))

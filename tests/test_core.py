@@ -195,3 +195,17 @@ def test_dirty_read_stages_every_order(spark):
             dels[key] = max(dels.get(key, (-1, 0)), (seq, idx))
     want = sorted((key, seq, value) for key, seq, idx, op, value in log if op == "A" and (seq, idx) > dels.get(key, (-1, 0)))
     assert sorted(map(tuple, queries.QUERIES["dirty_read_all"](spark, d).collect())) == want and any(k > 100 and s > 100000000 for k, s, _ in want)
+
+
+def test_fixed_counts_of_every_key(spark):
+    d, runs = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{d}/part.parquet").collect():
+        runs.setdefault(r.p_brand, []).append(len(r.p_name.encode()))
+        runs.setdefault(r.p_type, []).append(len(f"{r.p_size:02}"))
+    want = {k: len(v) if set(v) == {2} else None for k, v in runs.items()}
+    assert {r.key: r.n_fixed for r in queries.QUERIES["count_fixed_all"](spark, d).collect()} == want
+    assert None in want.values() and any(want.values())
+    keyed = spark.createDataFrame([("a", "xx"), ("a", "yy"), ("b", "xx"), ("b", "y")], "key string, value string")
+    assert [aggregates.count_fixed(keyed, k, 2).collect()[0].n_fixed for k in ("a", "b", "absent")] == [2, None, 0]
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    assert queries.QUERIES["scan_counts_fixed_all"](spark, d).count() == orders.select("o_orderpriority").distinct().count() > 3
