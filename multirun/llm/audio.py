@@ -124,7 +124,8 @@ def hysteresis(level: np.ndarray, begin: float, end: float) -> list[tuple[int, i
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def analyse(samples: bytes) -> Features:
+def analyse(samples: bytes, rest: bool = False) -> Features:
+    """Features of a payload's full frames; with ``rest``, what is left after them is a frame too, filled up with zeros."""
     x = np.frombuffer(samples, np.uint8)
     mels, power, held = [], [], np.zeros(0, np.float32)
     for i in range(0, max(len(x), 1), PIECE):
@@ -133,8 +134,12 @@ def analyse(samples: bytes) -> Features:
         part = resample((x[lo:hi].astype(np.float32) - 128) / 128)
         skip, n = (i - lo) // DOWN * UP, -(-(min(len(x), i + PIECE) - i) // DOWN) * UP
         y = np.concatenate([held, part[skip : skip + n]])
-        if len(y) < FRAME and i + PIECE >= len(x) and not mels:
-            y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+        if i + PIECE >= len(x):
+            if len(y) < FRAME and not mels:
+                y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+            elif rest:
+                # a frame before these has all but what is beyond FRAME - HOP
+                y = np.concatenate([y, np.zeros((-(len(y) - FRAME)) % HOP, np.float32)])
         k = (len(y) - FRAME) // HOP + 1 if len(y) >= FRAME else 0
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[: k * HOP : HOP] if k else np.zeros((0, FRAME), np.float32)
         for a in range(0, k, 2048):
@@ -184,7 +189,7 @@ def tensors(media: DataFrame) -> DataFrame:
     def f(batches):
         for b in batches:
             for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, (t0, t1, t) in enumerate(analyse(samples_of(m)).tensors()):
+                for k, (t0, t1, t) in enumerate(analyse(samples_of(m), rest=True).tensors()):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([i], pa.int64()), pa.array([k], pa.int32()), pa.array([t0]), pa.array([t1]), pa.array([t.ravel()], pa.list_(pa.float32()))],
                         names=["doc_id", "nth", "t_begin", "t_end", "tensor"],
@@ -203,31 +208,63 @@ def to_arrow(rows: pa.Table) -> pa.Table:
 
 
 DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+#: A document's digests and tensors: frames, segments' and tensors' begins and ends in turn, and SHAPE 16-bit hundredths per tensor.
+MEASURED = DIGEST.replace("feature string", "frames bigint, segments array<double>, spans array<double>, tensors array<binary>")
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary())}
 
 
-def described(media: DataFrame) -> DataFrame:
-    """The contract's columns, from stored media."""
-    names = [x.split()[0] for x in DIGEST.split(", ")]
-    types = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
+
+
+def measured(media: DataFrame) -> DataFrame:
+    """One row per document, with its fixed-shape tensors and their time spans; they cover the whole payload."""
 
     def f(batches):
         for b in batches:
-            rows = []
-            for i, n, m in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                p = samples_of(m)
-                a = analyse(p)
-                active = sum(z - s for s, z in a.segments)
-                feature = (
-                    f"frames={len(a.mel)};tensors={-(-len(a.mel) // SHAPE[0])};segments={len(a.segments)};active={active:.3f}"
-                    f";mel={hashlib.sha256(a.mel.astype('<i2').tobytes()).hexdigest()[:16]};spans={hashlib.sha256(np.asarray(a.segments, '<f8').tobytes()).hexdigest()[:16]}"
-                )
-                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            for at in range(0, b.num_rows, 64):
+                rows = []
+                for i, n, m in zip(*(b.column(k).slice(at, 64).to_pylist() for k in range(3)), strict=True):
+                    p = samples_of(m)
+                    a = analyse(p, rest=True)
+                    found = a.tensors()
+                    rows.append(
+                        (i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), len(a.mel), [x for s in a.segments for x in s],
+                         [x for t in found for x in t[:2]], [np.round(t[2] * 100).astype("<i2").tobytes() for t in found])
+                    )
+                yield _batch(rows, MEASURED)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(f, MEASURED)
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns, from measured documents; the feature is what their tensors and spans say."""
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(f, DIGEST)
+    def f(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                rows = []
+                for *head, frames, flat, spans, parts in zip(*(b.column(k).slice(at, 64).to_pylist() for k in range(11)), strict=True):
+                    mel = np.frombuffer(b"".join(parts), "<i2").reshape(-1, MELS)[:frames]
+                    segments = np.asarray(flat, "<f8").reshape(-1, 2)
+                    active = sum(z - s for s, z in segments.tolist())
+                    feature = (
+                        f"frames={len(mel)};tensors={len(spans) // 2};segments={len(segments)};active={active:.3f}"
+                        f";mel={hashlib.sha256(mel.tobytes()).hexdigest()[:16]};spans={hashlib.sha256(segments.tobytes()).hexdigest()[:16]}"
+                    )
+                    rows.append((*head, feature))
+                yield _batch(rows, DIGEST)
+
+    return found.select(*(x.split()[0] for x in MEASURED.split(", "))).mapInArrow(f, DIGEST)
+
+
+def described(media: DataFrame) -> DataFrame:
+    """The contract's columns, from stored media."""
+    return digest(measured(media))
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Stores the media as a table in the shared folder, reads it back and describes it."""
-    return described(stored(encode(docs), "media"))
+    """Stores the media as a table in the shared folder, and their tensors and spans as another, and describes these."""
+    return digest(stored(measured(stored(encode(docs), "media", compression="zstd")), "tensors", compression="zstd"))

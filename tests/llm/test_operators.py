@@ -190,6 +190,21 @@ def test_audio_features():
         audio.samples_of(b"no file")
 
 
+def test_audio_covers_the_whole_payload(spark, docs):
+    raw = bytes(np.random.default_rng(1).integers(32, 127, 576, dtype=np.uint8))
+    texts = [raw[:k] + b"z" * 24 + raw[k + 24 :] for k in (100, 300, 480, 510, 540)] + [raw]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = audio.media_features(df).collect()
+    assert len({r.feature for r in got}) == len(texts) and all(r.feature.startswith("frames=2;tensors=1;") for r in got)
+    for n in (1, 409, 410, 576, 576 * 50, audio.PIECE, audio.PIECE + 8, audio.PIECE + 5000):
+        x = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+        size = len(audio.resample((x.astype(np.float32) - 128) / 128))
+        full, all_ = audio.analyse(x.tobytes()), audio.analyse(x.tobytes(), rest=True)
+        assert len(all_.mel) == max(0, -(-(size - audio.FRAME) // audio.HOP)) + 1 and (all_.mel[: len(full.mel)] == full.mel).all()
+    stored = audio.media_features(docs.limit(50)).orderBy("doc_id").collect()
+    assert [r.feature for r in stored] == [r.feature for r in audio.described(audio.encode(docs.limit(50))).orderBy("doc_id").collect()]
+
+
 def test_audio_tensors(docs):
     import pyarrow as pa
 
