@@ -1,16 +1,18 @@
-"""Main text of pages: structure first, then differencing against the nearest page of the host.
-
-A page becomes lines, one per block, with what its markup says to leave out gone: navigation, headers and
-footers of the page, asides, forms, scripts, styles, and elements whose class, id or role names an advert,
-a notice, a menu, a sidebar or comments. Lines inside an article or main element are marked as its own. An
-article shows in what is left open before it and in a form or header around it, not inside any other element
-left out: teasers in an aside and comments are no text of the page. A main element shows wherever it stands.
-
-Pages are ordered by host and path. Each is paired with the nearest page on either side whose lines are not
-the same as its own, the one whose path agrees with its own for longer (the one before on ties); copies are
-looked past, since a page less its copy is nothing. The pair's lines are aligned by a longest common
-subsequence, and shared lines outside an article are deleted: what two different pages of a host share is
-the host's, not the page's. Lines inside an article are never deleted; all others depend on the pairing.
+"""Main text of pages: differencing against the nearest page of the host, with structure as the guard.
+
+A page becomes lines, one per visible block, boilerplate included. Pages are ordered by host and path. Each is
+paired with the nearest page on either side whose text is not the same as its own, the one whose path agrees
+with its own for longer (the one before on ties); copies are looked past, since a page less its copy is nothing.
+The pair's lines are aligned by a longest common subsequence, and shared lines are deleted: what two different
+pages of a host share is the host's, not the page's. The alignment runs on every page that has a partner, and
+``n_shared`` counts the lines it deleted.
+
+Structure says the rest. Lines inside an article or main element are guarded: a passage that two articles share
+is still text of both. Lines in navigation, headers and footers of the page, asides, forms, and elements whose
+class, id or role names an advert, a notice, a menu, a sidebar or comments are left out where the paired page
+does not share them (an advert or a comment is rarely the same on two pages). An article shows in what is left
+open before it and in a form or header around it, not inside any other element left out: teasers in an aside
+and comments are no text of the page. A main element shows wherever it stands.
 
 Pages are dealt to ranges of host, path and id, so a host of any size is spread over tasks. The page next to
 each range, and the nearest one of another content, also travel to it, as guests that are compared with and
@@ -30,7 +32,9 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 from os.path import commonprefix
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,20 +84,28 @@ def ended(html: str) -> set[int]:
     return out
 
 
-def lines(html: str | None) -> list[tuple[str, bool]]:
-    """Blocks of a page in order, each with whether it stands inside an article or main element."""
-    out: list[tuple[str, bool]] = []
-    held: list[str] = []
+class Line(NamedTuple):
+    text: str
+    #: Inside an article or main element.
+    own: bool
+    #: Inside an element that is left out by its name, class, id or role.
+    left_out: bool
+
+
+def lines(html: str | None) -> list[Line]:
+    """All visible blocks of a page in order; of one block, what is left out follows the rest."""
+    out: list[Line] = []
+    held: tuple[list[str], list[str]] = ([], [])
     stack: list[tuple[str, bool, int, bool]] = []  # open elements, whether each began what is left out, where, and whether it counts as own
     skipping = own = 0
     closed: set[int] | None = None
 
     def close():
-        nonlocal held
-        if held:
-            if line := " ".join(unescape("".join(held)).split()):
-                out.append((line, own > 0))
-            held = []
+        for left_out, part in enumerate(held):
+            if part:
+                if line := " ".join(unescape("".join(part)).split()):
+                    out.append(Line(line, own > 0, bool(left_out)))
+                part.clear()
 
     def pop():
         nonlocal skipping, own
@@ -103,8 +115,8 @@ def lines(html: str | None) -> list[tuple[str, bool]]:
 
     at, html = 0, html or ""
     for m in _TOKEN.finditer(html):
-        if not skipping and m.start() > at:
-            held.append(html[at : m.start()])
+        if m.start() > at:
+            held[skipping > 0].append(html[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -134,24 +146,63 @@ def lines(html: str | None) -> list[tuple[str, bool]]:
         stack.append((name, left_out, m.start(), counted))
         skipping += left_out
         own += counted
-    if not skipping and at < len(html):
-        held.append(html[at:])
+    if at < len(html):
+        held[skipping > 0].append(html[at:])
     close()
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``; one bit row per line of ``a``."""
-    places: dict[str, int] = {}
-    for k, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << k
-    full = (1 << len(b)) - 1
+#: Bits of alignment rows held at once; longer pairs are aligned in halves.
+ALIGN_BITS = 1 << 26
+
+
+def _rows(a: list[str], places: dict[str, int], full: int, every: bool) -> list[int]:
+    """Bit rows of the alignment after each line of ``a`` (or the last alone): a zero bit at k says that line k of ``b`` lengthens the match."""
     row, rows = full, [full]
     for x in a:
         hit = row & places.get(x, 0)
         row = (row + hit | row - hit) & full
-        rows.append(row)
-    # a zero bit at k in row i: line k of b ends a longer match with the first i lines of a
+        if every:
+            rows.append(row)
+    return rows if every else [row]
+
+
+def _places(b: list[str]) -> dict[str, int]:
+    """Bits of the lines of ``b``, set in bytes so that a long list costs its length once per distinct line."""
+    at: dict[str, list[int]] = {}
+    for k, x in enumerate(b):
+        at.setdefault(x, []).append(k)
+    out = {}
+    for x, ks in at.items():
+        bits = bytearray((ks[-1] >> 3) + 1)
+        for k in ks:
+            bits[k >> 3] |= 1 << (k & 7)
+        out[x] = int.from_bytes(bits, "little")
+    return out
+
+
+def _prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with every prefix of ``b``."""
+    n = len(b)
+    row = _rows(a, _places(b), (1 << n) - 1, False)[0]
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n + 7 >> 3, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``, in memory of ALIGN_BITS and the lines."""
+    both = set(a) & set(b)
+    at = [i for i, x in enumerate(a) if x in both]
+    return {at[i] for i in _shared([a[i] for i in at], [x for x in b if x in both])}
+
+
+def _shared(a: list[str], b: list[str]) -> set[int]:
+    if len(a) > 1 and len(a) * len(b) > ALIGN_BITS:
+        # the place of ``b`` where the best match of the first half of ``a`` and that of the second meet
+        half = len(a) // 2
+        k = int(np.argmax(_prefix_lengths(a[:half], b) + _prefix_lengths(a[half:][::-1], b[::-1])[::-1]))
+        return shared(a[:half], b[:k]) | {half + i for i in shared(a[half:], b[k:])}
+    rows = _rows(a, _places(b), (1 << len(b)) - 1, True)
     out, i, k = set(), len(a), len(b)
     length = lambda i, k: k - (rows[i] & (1 << k) - 1).bit_count()
     while i and k:
@@ -168,14 +219,14 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def text_of(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
-    """Lines less those shared with the paired page, but for an article's."""
-    # nothing to delete: no alignment needed
-    gone = shared([x for x, _ in own], [x for x, _ in other]) if other and not all(kept for _, kept in own) else set()
-    return " ".join(x for k, (x, kept) in enumerate(own) if kept or k not in gone)
+def text_of(own: list[Line], other: list[Line] | None) -> tuple[str, int]:
+    """Text of the lines that the paired page does not share and structure does not leave out, and how many lines the alignment deleted."""
+    gone = shared([x.text for x in own], [x.text for x in other]) if other else set()
+    gone = {k for k in gone if own[k].left_out or not own[k].own}
+    return " ".join(x.text for k, x in enumerate(own) if not x.left_out and k not in gone), len(gone)
 
 
-OUT = "page_id bigint, url string, text string, n_chars bigint"
+OUT = "page_id bigint, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint"
 #: Sampled keys per task that the tasks' ranges are cut by (on the driver, about 100 bytes each).
 SAMPLE_KEYS = 40
 KEY = "h string, p string, i bigint, x bigint"
@@ -189,9 +240,9 @@ def _key(h: str, p: str, i: int | None, *x: int) -> tuple:
     return h, p, i is not None, i or 0, *x
 
 
-def content(page: list[tuple[str, bool]]) -> bytes:
-    """Names a page's lines; equal for copies, whatever their markup or address."""
-    return hashlib.sha256("\n".join(x for x, _ in page).encode("utf-8", "surrogatepass")).digest()[:16]
+def content(page: list[Line]) -> bytes:
+    """Names the lines that structure leaves; equal for copies, whatever their markup, address or adverts."""
+    return hashlib.sha256("\n".join(x.text for x in page if not x.left_out).encode("utf-8", "surrogatepass")).digest()[:16]
 
 
 def cut_keys(keys: list[tuple], ranges: int) -> list[tuple]:
@@ -282,10 +333,12 @@ def _paired(batches) -> Iterator[pa.RecordBatch]:
     ready: list[tuple] = []
 
     def batch():
-        cols = list(zip(*ready, strict=True)) or [[]] * 4
+        cols = list(zip(*ready, strict=True)) or [[]] * 6
         ready.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
+    kept = lambda page: [x.text for x in page if not x.left_out]
     # copies that follow each other are held until the page after them is known: their lines once, and before, the page before them
     copies: list[tuple] = []
     before = None
@@ -298,12 +351,13 @@ def _paired(batches) -> Iterator[pa.RecordBatch]:
                 best = max(near, key=lambda x: len(commonprefix([x[1], p])), default=None)
                 if made[0] is not own or made[1] is not best:
                     made = own, best, text_of(own, best and best[2])
-                ready.append((*out, made[2], len(made[2])))
+                text, n_shared = made[2]
+                ready.append((*out, text, len(text), len(own), n_shared))
             if len(ready) >= 500:
                 yield batch()
 
     for r in rows():
-        if copies and r[0] == copies[0][0] and [x for x, _ in r[2]] == [x for x, _ in copies[-1][2]]:
+        if copies and r[0] == copies[0][0] and kept(r[2]) == kept(copies[-1][2]):
             copies.append((*r[:2], copies[-1][2] if r[2] == copies[-1][2] else r[2], r[3]))
             continue
         if copies:

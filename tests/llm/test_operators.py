@@ -357,15 +357,68 @@ def test_html_lines_beside_an_article_are_differenced(spark):
     assert got == {i: f"own x{i} same" for i in range(3)}
 
 
+def test_html_differencing_changes_the_given_pages(spark):
+    """The alignment runs on the given pages and deletes lines that structure would have had to name."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = html_text.extract(pages).collect()
+    assert sum(r.n_shared > 0 for r in got) > 10 and all(r.n_shared <= r.n_lines for r in got)
+
+
+def test_html_pairing_against_brute_force(spark):
+    """Pages with and without an article, each less the lines of the nearest page of another text."""
+    rng = random.Random(11)
+    div = lambda: f"<div>{rng.choice(['menu', 'join us', 'legal', f'own {rng.random()}'])}</div>"
+    data = []
+    for i in range(80):
+        body = "".join(div() for _ in range(4))
+        data.append((i, f"http://h{i % 3}/{rng.randrange(4)}/{i}", body + f"<article>story {i % 9}</article>" * (i % 2) + "<nav>home</nav>"))
+    got = {r.page_id: (r.text, r.n_shared) for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i, u, h in data:
+        host, path = u[7:].split("/", 1)
+        same = sorted([(u2[7:].split("/", 1)[1], i2, html_text.lines(h2)) for i2, u2, h2 in data if u2[7:].split("/", 1)[0] == host], key=lambda x: (f"/{x[0]}", x[1]))
+        at = next(k for k, x in enumerate(same) if x[1] == i)
+        text = lambda page: [x.text for x in page if not x.left_out]
+        own = same[at][2]
+        sides = [next((x for x in side if text(x[2]) != text(own)), None) for side in (same[:at][::-1], same[at + 1 :])]
+        agree = lambda x: -1 if x is None else next((k for k, (a, b) in enumerate(zip(x[0], path, strict=False)) if a != b), min(len(x[0]), len(path)))  # noqa: E731, B023
+        best = sides[0] if agree(sides[0]) >= agree(sides[1]) else sides[1]
+        assert got[i] == html_text.text_of(own, best and best[2])
+
+
+def test_html_alignment_in_halves(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+        monkeypatch.setattr(html_text, "ALIGN_BITS", 1 << 26)
+        whole = html_text.shared(a, b)
+        monkeypatch.setattr(html_text, "ALIGN_BITS", 16)
+        parts, it = sorted(html_text.shared(a, b)), iter(b)
+        assert len(parts) == len(whole) and all(a[i] in it for i in parts)
+
+
+def test_html_very_long_pages(spark, odd):
+    page = lambda k: "".join(f"<div>line {i if i % 50 else f'{k} {i}'}</div>" for i in range(20000))
+    data = [(k, f"http://h/{k}", page(k)) for k in range(2)] + [(9, "http://h/9", "<div>" * 5000 + "deep" + "<b" * 2000)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({"b": F.lit("clash"), "guest": F.lit(1), "text": F.lit("clash")})
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    assert got[0].n_shared == 19600 and got[0].text.startswith("line 0 0 line 0 50") and got[9].text.startswith("deep")
+    rows = odd.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    assert html_text.extract(rows).count() == rows.count()
+
+
+def left(page):
+    return [(x.text, x.own) for x in html_text.lines(page) if not x.left_out]
+
+
 def test_html_articles_do_not_show_what_holds_them():
     for a, z in (("<aside>", "</aside>"), ("<nav>", "</nav>"), ("<div class=comments><div>", "</div></div>"), ("<aside><section>", "</section></aside>")):
-        assert html_text.lines(f"<div>main text</div>{a}<article>teaser</article><article>b</article>{z}<p>end") == [("main text", False), ("end", False)]
-        assert html_text.lines(f"{a}<article>teaser</article>{z}<article>main text</article>") == [("main text", True)]
-    assert html_text.lines("<form><nav>m</nav><article>text</article></form>") == [("text", True)]
+        assert left(f"<div>main text</div>{a}<article>teaser</article><article>b</article>{z}<p>end") == [("main text", False), ("end", False)]
+        assert left(f"{a}<article>teaser</article>{z}<article>main text</article>") == [("main text", True)]
+    assert left("<form><nav>m</nav><article>text</article></form>") == [("text", True)]
 
 
 def test_html_structure():
-    own = lambda s: " ".join(x for x, _ in html_text.lines(s))
+    own = lambda s: " ".join(x for x, _ in left(s))
     assert own("<nav>a<article><header><h1>T</h1></header>b<script>x</p></script>c<!-- d --></article><footer>e") == "T bc"
     assert own("a<br>b&nbsp;c &#233; <i>d</i>e <style>z") == "a b c é de"
     assert own("<div class='cookie-notice'>x<div>y</div></div>z") == "z" and own("<p class=lead>z") == "z"
