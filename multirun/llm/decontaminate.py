@@ -5,21 +5,25 @@ bytes, and stores for every term of its documents the ascending token positions,
 shard stand ``GAP`` positions apart, so no phrase crosses them. Shards are made where the text is read and
 are never shuffled: a term's list is spread over shards, which splits frequent terms by itself.
 
-A phrase is searched in each shard from its rarest term there: that list, less the term's offset, gives
+Windows of the items are made in tasks and searched in blocks of a bounded number of item words. A block is
+joined with the index by terms: the corpus counts of its terms come from the index first, and each window is
+filed under its rarest term in the corpus. A shard looks up its terms among those; a window whose rarest term
+it does not have costs it nothing, and one whose rarest term no shard has is dropped before the search.
+
+A window is then searched from its rarest term in the shard: that list, less the term's offset, gives
 candidate starts, and the other terms' lists are intersected with it from rare to frequent until none is
 left. A proximity match begins at any of its words and has all of them within its reach, in one document;
 the rarest term only says where to look, so matches do not depend on what else a shard holds.
 
-Search phrases are sent to tasks in blocks of a bounded number of words, one search over the index each.
-
 Cases: texts without words have no hits; an item of fewer words than a window is one window, one without
-words none; null item ids are ignored; items with equal ids are one item; repeated documents are judged
-separately; an empty table gives no rows.
+words none; an item longer than a block is cut into parts that share a window less a word, so every window is
+in one part; null item ids are ignored; items with equal ids are one item; repeated documents are judged
+separately; an empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,10 +39,10 @@ WINDOW = 10
 GAP = 64
 #: Bytes of text in a shard, but for a longer document.
 SHARD_BYTES = 2 << 20
-#: Words of search phrases sent to tasks at once.
-BLOCK_WORDS = 2_000_000
+#: Item words whose windows are sent to tasks at once, and words in a part of an item.
+BLOCK_WORDS, PART_WORDS = 1 << 20, 1 << 16
 
-INDEX = "doc_ids array<bigint>, doc_words binary, terms array<binary>, sizes binary, positions binary"
+INDEX = "shard bigint, doc_ids array<bigint>, doc_words binary, terms array<binary>, sizes binary, positions binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -57,6 +61,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     small_batches(docs.sparkSession)
 
     def f(batches):
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
         for b, data, off in text_groups(batches, limit=SHARD_BYTES):
             low = LOWER[data]
             starts, ends, cut = token_spans(low, off)
@@ -76,9 +83,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             delta = np.diff(sorted_places, prepend=0)
             first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
             delta[first] = sorted_places[first]
-            row = [b.column(b.schema.get_field_index("doc_id")).to_pylist(), _pack(words), coded.dictionary.cast(pa.binary()).to_pylist(), _pack(counts), _pack(delta)]
-            types = [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["doc_ids", "doc_words", "terms", "sizes", "positions"])
+            row = [shard, b.column(b.schema.get_field_index("doc_id")).to_pylist(), _pack(words), coded.dictionary.cast(pa.binary()).to_pylist(), _pack(counts), _pack(delta)]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["shard", "doc_ids", "doc_words", "terms", "sizes", "positions"])
+            shard += 1
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(f, INDEX)
 
@@ -87,7 +95,7 @@ class Shard:
     """One index row, opened."""
 
     def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
+        self.shard, self.doc_ids = row["shard"], row["doc_ids"]
         self.words = _unpack(row["doc_words"])
         #: First position of each document.
         self.first = np.concatenate([[0], np.cumsum(self.words + GAP)[:-1]]).astype(np.int64) if len(self.words) else np.zeros(0, np.int64)
@@ -96,27 +104,30 @@ class Shard:
         self.begin = self.end - sizes
         self.delta = _unpack(row["positions"])
         self.term = {t: i for i, t in enumerate(row["terms"])}
-        self.open: dict[bytes, np.ndarray] = {}
+        self.open: dict[int, np.ndarray] = {}
+
+    def listed(self, i: int) -> np.ndarray:
+        """Ascending positions of the i-th term."""
+        if i not in self.open:
+            self.open[i] = np.cumsum(self.delta[self.begin[i] : self.end[i]])
+        return self.open[i]
 
     def postings(self, term: bytes) -> np.ndarray | None:
         """Ascending positions of a term."""
-        if term not in self.open:
-            i = self.term.get(term)
-            self.open[term] = None if i is None else np.cumsum(self.delta[self.begin[i] : self.end[i]])
-        return self.open[term]
+        i = self.term.get(term)
+        return None if i is None else self.listed(i)
 
     def size(self, term: bytes) -> int:
         i = self.term.get(term)
         return 0 if i is None else int(self.end[i] - self.begin[i])
 
-    def phrase(self, words: tuple[bytes, ...]) -> np.ndarray:
-        """Start positions of an exact phrase."""
-        order = sorted(range(len(words)), key=lambda k: self.size(words[k]))
-        if self.size(words[order[0]]) == 0:
-            return np.zeros(0, np.int64)
-        at = self.postings(words[order[0]]) - order[0]
+    def run(self, terms: list[int]) -> np.ndarray:
+        """Start positions of an exact phrase, given by the places of its terms."""
+        size = self.end[terms] - self.begin[terms]
+        order = np.argsort(size, kind="stable").tolist()
+        at = self.listed(terms[order[0]]) - order[0]
         for k in order[1:]:
-            p = self.postings(words[k])
+            p = self.listed(terms[k])
             i = np.searchsorted(p, at + k)
             at = at[p[np.minimum(i, len(p) - 1)] == at + k]
             if not len(at):
@@ -155,40 +166,131 @@ def words_of(text: str | None) -> list[bytes]:
     return [raw[a:b] for a, b in zip(s, e, strict=True)]
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """Every run of ``size`` words, or the whole text if it is shorter."""
-    w = words_of(text)
-    return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+PARTS = "item string, n bigint, words binary"
 
 
-def phrase_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW, limit: int = BLOCK_WORDS):
-    """Dictionaries ``window -> item ids as strings``, each of at most ``limit`` words and one item more; read one after another."""
-    block, n = {}, 0
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null")
-    for r in rows.toLocalIterator():
-        for w in windows(r["t"], size):
-            n += len(w)
-            block.setdefault(w, set()).add(r["i"])
-        if n >= limit:
-            yield block
-            block, n = {}, 0
-    if block:
-        yield block
+def item_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW, limit: int = PART_WORDS) -> DataFrame:
+    """Items cut into parts of at most ``limit`` words (or ``size``), back to back with a space between; parts share a window less a word."""
+    limit = max(limit, size)
+
+    def f(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                w = words_of(b.column(1)[k].as_py())
+                at = [i for i in range(0, len(w), limit - size + 1) if i == 0 or i + size <= len(w)]
+                for i in at:
+                    part = w[i : i + limit]
+                    cols = [[b.column(0)[k].as_py()], [len(part)], [b" ".join(part)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["item", "n", "words"])
+
+    own = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+    return own.mapInArrow(f, PARTS)
+
+
+class Block:
+    """Windows of some parts of items, as rows of places in their vocabulary (-1 where a window is shorter)."""
+
+    def __init__(self, parts: list[tuple[str, bytes]], size: int = WINDOW):
+        self.vocabulary: dict[bytes, int] = {}
+        self.items = sorted({i for i, _ in parts})
+        number = {x: k for k, x in enumerate(self.items)}
+        rows, whose = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int32)]
+        for item, raw in parts:
+            ids = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in raw.split(b" ")], np.int32)
+            if len(ids) < size:
+                ids = np.concatenate([ids, np.full(size - len(ids), -1, np.int32)])
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+            whose.append(np.full(len(rows[-1]), number[item], np.int32))
+        flat = np.ascontiguousarray(np.concatenate(rows)).view(np.dtype((np.void, 4 * size))).ravel()
+        found, inverse = np.unique(flat, return_inverse=True)
+        self.rows = found.view(np.int32).reshape(-1, size)
+        # (window, item) pairs, once each; the items of window r are whose[first[r] : first[r + 1]]
+        pairs = np.unique(inverse.astype(np.int64) * max(1, len(self.items)) + np.concatenate(whose))
+        self.whose = (pairs % max(1, len(self.items))).astype(np.int32)
+        self.first = np.searchsorted(pairs // max(1, len(self.items)), np.arange(len(self.rows) + 1))
+        self.order = self.begin = np.zeros(0, np.int64)
+
+    def file(self, counts: np.ndarray) -> None:
+        """Files each window under its term that is rarest in the corpus; windows with a term that it does not have are left out."""
+        size = np.where(self.rows < 0, np.iinfo(np.int64).max, counts[self.rows]) if len(self.rows) else np.zeros((0, 1), np.int64)
+        kept = np.flatnonzero(size.min(axis=1) > 0)
+        anchor = self.rows[kept, size[kept].argmin(axis=1)]
+        order = np.argsort(anchor, kind="stable")
+        self.order, self.begin = kept[order], np.searchsorted(anchor[order], np.arange(len(self.vocabulary) + 1))
+
+    def shared(self, terms: dict[bytes, int]) -> list[tuple[int, int]]:
+        """``(place here, place there)`` of the terms that a shard has too, by way of the smaller of both."""
+        if len(terms) < len(self.vocabulary):
+            return [(self.vocabulary[t], i) for t, i in terms.items() if t in self.vocabulary]
+        return [(k, terms[t]) for t, k in self.vocabulary.items() if t in terms]
+
+    def candidates(self, terms: dict[bytes, int]) -> tuple[list[int], list[list[int]]]:
+        """Windows that have their rarest term and all others in a shard, with their terms' places there."""
+        both = np.asarray(self.shared(terms), np.int64).reshape(-1, 2)
+        filed = both[self.begin[both[:, 0] + 1] > self.begin[both[:, 0]]][:, 0] if len(self.order) else both[:0, 0]
+        if not len(filed):
+            return [], []
+        rows = np.concatenate([self.order[self.begin[k] : self.begin[k + 1]] for k in filed])
+        place = np.full(len(self.vocabulary) + 1, -1, np.int64)  # the last one stands for the -1 of short windows
+        place[both[:, 0]] = both[:, 1]
+        at = place[self.rows[rows]]
+        whole = ((at >= 0) | (self.rows[rows] < 0)).all(axis=1)
+        length = (self.rows[rows] >= 0).sum(axis=1)
+        return rows[whole].tolist(), [x[:n].tolist() for x, n in zip(at[whole], length[whole], strict=True)]
+
+
+def blocks(parts: DataFrame, size: int = WINDOW, limit: int = BLOCK_WORDS):
+    """Blocks of at most ``limit`` item words, but for one part; read one after another."""
+    held, n = [], 0
+    for r in parts.toLocalIterator():
+        if held and n + r["n"] > limit:
+            yield Block(held, size)
+            held, n = [], 0
+        held.append((r["item"], bytes(r["words"])))
+        n += r["n"]
+    yield Block(held, size)
+
+
+def corpus_counts(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Occurrences in the corpus of each term of a vocabulary; reads terms and list sizes only."""
+    if not vocabulary:
+        return np.zeros(0, np.int64)
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def f(batches):
+        fresh("index")
+        get, out = shared.value.get, np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            for terms, sizes in zip(b.column(0), b.column(1), strict=True):
+                at = [(k, i) for i, k in enumerate(map(get, terms.as_py())) if k is not None]
+                if at:
+                    k, i = np.asarray(at).T
+                    out[k] += _unpack(sizes.as_py())[i]
+        seen = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(out[seen], pa.int64())], names=["k", "n"])
+
+    found = index.select("terms", "sizes").mapInArrow(f, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    counts = np.zeros(len(vocabulary), np.int64)
+    counts[found["k"].to_numpy()] = found["n"].to_numpy()
+    return counts
 
 
 HITS = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>"
+SPANS = "shard bigint, nth bigint, spans array<bigint>, items array<string>"
 
 
-def _hits(shard: Shard, phrases: dict) -> tuple[list[list[int]], list[set]]:
-    """Covered positions and item ids by document of a shard."""
+def _hits(shard: Shard, block: Block) -> tuple[list[list[tuple]], list[set]]:
+    """Covered positions and places of items by document of a shard."""
     n = len(shard.words)
     spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
-    for words, ids in phrases.items():
-        at = shard.phrase(words)
+    for r, terms in zip(*block.candidates(shard.term), strict=True):
+        at = shard.run(terms)
         if len(at):
+            own = block.whose[block.first[r] : block.first[r + 1]].tolist()
             for p, d in zip(at.tolist(), shard.doc_of(at).tolist(), strict=True):
-                spans[d].append((p, p + len(words)))
-                items[d] |= ids
+                spans[d].append((p, p + len(terms)))
+                items[d].update(own)
     return spans, items
 
 
@@ -200,55 +302,72 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
+def _shards(batches):
+    fresh("index")
+    for b in batches:
+        for k in range(b.num_rows):
+            yield Shard(b.slice(k, 1).to_pylist()[0])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BLOCK_WORDS, index: DataFrame | None = None) -> DataFrame:
-    """One row per document: its words, words inside any occurrence of a window, and the items whose windows occur."""
+    """One row per document: its words, words inside any occurrence of a window, and the items whose windows occur.
+
+    An ``index`` that is given must be stored: it is read once for the terms' counts and once for each block.
+    """
     spark = docs.sparkSession
     index = stored(build(docs), "index") if index is None else index
-    blocks = phrase_blocks(items, size=size, limit=limit)
-    first, second = next(blocks, {}), next(blocks, None)
+    found = blocks(stored(item_parts(items, size=size, limit=min(limit, PART_WORDS)), "items"), size, limit)
+    block, second = next(found), next(found, None)
 
-    def search(phrases, spans_out: bool):
-        shared = spark.sparkContext.broadcast(phrases)
+    def search(block: Block, schema: str, rows) -> tuple[DataFrame, object]:
+        block.file(corpus_counts(index, block.vocabulary))
+        shared = spark.sparkContext.broadcast(block)
+        names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+        arrow = [{"bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}[t] for t in types]
 
         def f(batches):
-            fresh("index")
-            for b in batches:
-                for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
-                    s = Shard(row)
-                    spans, found = _hits(s, shared.value)
-                    cols = [s.doc_ids, s.words.tolist()]
-                    if spans_out:
-                        key = hashlib.sha256(row["positions"] + row["doc_words"] + repr(s.doc_ids).encode() + b"".join(row["terms"])).hexdigest()
-                        cols += [[key] * len(s.words), list(range(len(s.words))), [[x for y in p for x in y] for p in spans], [sorted(x) for x in found]]
-                        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-                        names = ["doc_id", "n_words", "shard", "nth", "spans", "items"]
-                    else:
-                        cols += [[_covered(p) for p in spans], [sorted(x) for x in found]]
-                        types, names = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())], ["doc_id", "n_words", "n_hit", "items"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-        return index.mapInArrow(f, "doc_id bigint, n_words bigint, shard string, nth bigint, spans array<bigint>, items array<string>" if spans_out else HITS)
+            for s in _shards(batches):
+                cols = list(zip(*rows(s, shared.value), strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow, strict=True)], names=list(names))
+
+        return index.mapInArrow(f, schema), shared
+
+    def named(block, found):
+        return sorted(block.items[i] for i in found)
+
+    def whole(s: Shard, block: Block):
+        return [(i, n, _covered(p), named(block, x)) for i, n, p, x in zip(s.doc_ids, s.words.tolist(), *_hits(s, block), strict=True)]
+
+    def partial(s: Shard, block: Block):
+        return [(s.shard, k, [x for y in p for x in y], named(block, x)) for k, (p, x) in enumerate(zip(*_hits(s, block), strict=True)) if p]
 
     if second is None:
-        return search(first, False)
-    # more phrases than one block: each block's spans by document, then one union of spans per document
-    parts = [search(p, True) for p in (first, second)]
-    parts += [search(p, True) for p in blocks]
-    # equal shards hold equal documents; a copy number keeps them apart
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    n = len(parts)
+        return search(block, HITS, whole)[0]
+    # more than one block: hits of each are stored and its windows let go; then one union of spans per document
+    parts = []
+    while block is not None:
+        hits, shared = search(block, SPANS, partial)
+        parts.append(stored(hits, "hits"))
+        shared.destroy()
+        block, second = second, next(found, None)
 
     @F.pandas_udf("bigint")
     def covered(spans: pd.Series) -> pd.Series:
         return spans.map(lambda s: _covered([(s[i], s[i + 1]) for i in range(0, len(s), 2)]))
 
-    g = found.groupBy("shard", "nth", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n).cast("int").alias("copies")
+    def listed(batches):
+        for s in _shards(batches):
+            n = len(s.words)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([s.shard] * n, range(n), s.doc_ids, s.words.tolist())], names=["shard", "nth", "doc_id", "n_words"])
+
+    g = reduce(DataFrame.unionByName, parts).groupBy("shard", "nth").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    every = index.mapInArrow(listed, "shard bigint, nth bigint, doc_id bigint, n_words bigint")
+    none = F.array().cast("array<string>")
+    return every.join(g.select("shard", "nth", covered("spans").alias("n_hit"), "items"), ["shard", "nth"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items")
     )
-    one = g.select("doc_id", "n_words", covered("spans").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_c"))
-    return one.drop("_c")
 
 
 def near(docs: DataFrame, phrases: list[list[str]], reach: int) -> DataFrame:
@@ -256,12 +375,10 @@ def near(docs: DataFrame, phrases: list[list[str]], reach: int) -> DataFrame:
     wanted = [tuple(words_of(" ".join(p))) for p in phrases]
 
     def f(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                s = Shard(row)
-                out = [(s.doc_ids[d], k, int(p - s.first[d])) for k, w in enumerate(wanted) for p, d in ((p, d) for at in [s.near(w, reach)] for p, d in zip(at, s.doc_of(at), strict=True))]
-                cols = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "phrase", "position"])
+        for s in _shards(batches):
+            out = [(s.doc_ids[d], k, int(p - s.first[d])) for k, w in enumerate(wanted) for at in [s.near(w, reach)] for p, d in zip(at, s.doc_of(at), strict=True)]
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "phrase", "position"])
 
     return build(docs).mapInArrow(f, "doc_id bigint, phrase bigint, position bigint")
 

@@ -117,7 +117,7 @@ def test_personal_data_odd_cases(odd, none):
 # --- op3
 
 
-def test_decontamination(spark, docs, rows, odd, none):
+def test_decontamination(spark, docs, rows, odd, none, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").unionByName(
         spark.createDataFrame([(900, "one two three"), (901, None), (902, ""), (None, "of and"), (900, "of AND the")], "item_id long, text string")
     )
@@ -129,10 +129,26 @@ def test_decontamination(spark, docs, rows, odd, none):
     assert {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.contaminated(df, items)).collect()} == want
     blocks = decontaminate.contaminated(df, items, limit=500)
     assert {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(blocks).collect()} == want
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 12)
+    parts = decontaminate.contaminated(df, items, limit=4000)
+    assert {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(parts).collect()} == want
     assert decontaminate.contaminated(odd, items).count() == odd.count() and decontaminate.contaminated(none, items).count() == 0
     assert decontaminate.contaminated(odd, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_windows_cost_nothing_where_their_rarest_term_is_missing():
+    block = decontaminate.Block([("a", b"the of rare and"), ("b", b"the of and the"), ("b", b"no such of"), ("a", b"the of")], 4)
+    counts = {b"the": 90, b"of": 80, b"and": 70, b"rare": 2}
+    block.file(np.asarray([counts.get(t, 0) for t in block.vocabulary]))
+    assert len(block.rows) == 4 and len(block.order) == 3
+    here = {b"the": 0, b"of": 1, b"and": 2}
+    rows, terms = block.candidates(here)
+    # "the of rare and" is filed under "rare", which is not here; "no such of" under nothing
+    assert sorted(map(tuple, terms)) == [(0, 1), (0, 1, 2, 0)]
+    assert [block.items[block.whose[k]] for r in rows for k in range(block.first[r], block.first[r + 1])].count("b") == 1
+    assert block.candidates({b"x": 0}) == ([], []) and len(block.candidates(here | {b"rare": 3})[0]) == 3
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "red"), (4, "blue blue")], "doc_id long, text string")
     got = {r.doc_id for r in decontaminate.near(df, [["red", "blue"]], 3).collect()}
