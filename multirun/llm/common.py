@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once, but for a single longer document.
@@ -56,8 +56,12 @@ def fresh(kind: str) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share; a local one only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="multirun-")
+    """A fresh folder that driver and executors share; a local one only where all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="multirun-")
     return f"{base.rstrip('/')}/multirun/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -75,16 +79,20 @@ def small_batches(spark: SparkSession, limit: str = "2m") -> None:
         spark.conf.set(name, limit)
 
 
-def bounded_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows for fitting a model, drawn over the whole table by the hash of a column.
+def hash_share(column: Column) -> Column:
+    """A value's place below a million, by its hash."""
+    return F.pmod(F.xxhash64(column), F.lit(1_000_000))
 
-    The share comes from a count, so tasks send what is drawn and no more; the limit holds where many rows
-    are equal and so drawn together.
+
+def bounded_sample(df: DataFrame, column: str, rows: int) -> tuple[DataFrame, int]:
+    """At most ``rows`` distinct rows for fitting a model, drawn over the whole table by the hash of a column, and the share drawn of a million.
+
+    The share comes from a count, so tasks send what is drawn and no more. Repeated rows are drawn together and
+    count once, so copies do not crowd out the rest; the limit stands for the rare draw of more than its share.
     """
     n = df.count()
-    if n > rows:
-        df = df.where(F.pmod(F.xxhash64(column), F.lit(1_000_000)) < int(900_000 * rows / n))
-    return df.limit(rows)
+    share = int(900_000 * rows / n) if n > rows else 1_000_000
+    return df.where(hash_share(F.col(column)) < share).distinct().limit(rows), share
 
 
 def own_columns(df: DataFrame, *besides: str) -> list:
@@ -98,9 +106,9 @@ def odd_ids(df: DataFrame, id_col: str = "doc_id") -> bool:
     return not df.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty()
 
 
-def row_keys(df: DataFrame, name: str, id_col: str = "doc_id") -> tuple[DataFrame, bool]:
-    """The frame with a unique long per row: the id itself, or where ids do not name rows, a number that is stored with it."""
-    if not odd_ids(df, id_col):
+def row_keys(df: DataFrame, name: str, id_col: str | None = "doc_id") -> tuple[DataFrame, bool]:
+    """The frame with a unique long per row: the id itself, or where there is none or ids do not name rows, a number that is stored with it."""
+    if id_col is not None and not odd_ids(df, id_col):
         return df.withColumn(name, F.col(id_col).cast("bigint")), False
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows"), True
 

@@ -377,7 +377,7 @@ def extract(pages: DataFrame) -> DataFrame:
     p = pages.select(host(u).alias("h"), path(u).alias("p"), F.col("page_id").cast("bigint").alias("i"), F.xxhash64("html").alias("x"), "url", "html")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = p.select("h", "p", "i")
-    sample = bounded_sample(keys.withColumn("_r", F.xxhash64("h", "p", "i")), "_r", SAMPLE_KEYS * n).collect()
+    sample = bounded_sample(keys.withColumn("_r", F.xxhash64("h", "p", "i")), "_r", SAMPLE_KEYS * n)[0].collect()
     cuts = cut_keys([_key(r["h"], r["p"], r["i"]) for r in sample], n)
     # two rows per range and end; a content's first and last page of a range are enough to find them
     key = F.struct("h", "p", "i", "x")

@@ -3,7 +3,11 @@
 Text likelihoods come from byte trigrams counted per language on a bounded sample of labelled rows. They
 are tempered, since trigrams of a text are not independent. The declared language and the suffix of the
 address add log likelihoods of a fixed trust. Host priors are smoothed in steps, all rows to the host's
-registered domain to the host, from one grouped aggregate of the text's own verdicts.
+registered domain to the host, from one grouped aggregate of the texts' own verdicts; a row's own verdict is
+taken out of all three steps before it meets them, so that no row is evidence for itself.
+
+Texts are scored once: scores are stored with the other evidence under the row's key, and texts do not travel.
+A label that the model was fitted on is no evidence for its own row: ``unfitted`` tells these rows apart.
 
 A class "und" stands for text of no known language: its trigrams are all equally likely. A document is
 rejected if that class wins, if the best language has less than ``least`` of the posterior, or if the
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from multirun.llm.common import GROUP_BYTES, bounded_sample, fresh, groups, own_columns, small_batches, stored
+from multirun.llm.common import GROUP_BYTES, bounded_sample, fresh, groups, hash_share, own_columns, row_keys, small_batches, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -61,6 +65,8 @@ class Model:
     languages: tuple[str, ...]
     #: (classes + 1, BUCKETS) log likelihoods; the last class is UNKNOWN.
     table: np.ndarray
+    #: Rows with a lower text hash (of a million) were drawn for fitting.
+    share: int = 0
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Tempered log likelihoods per text and class; rows of zeros where there is no letter."""
@@ -97,13 +103,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([own[i].astype("<i8").tobytes() for i in seen], pa.binary())], names=["l", "counts"])
 
     counts = np.zeros((len(languages) + 1, BUCKETS))
-    for r in bounded_sample(pick, "t", rows).mapInArrow(count, "l int, counts binary").collect():
+    sample, share = bounded_sample(pick, "t", rows)
+    for r in sample.mapInArrow(count, "l int, counts binary").collect():
         counts[r["l"]] += np.frombuffer(r["counts"], "<i8")
     counts[:, 0] = 0
     logs = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
     logs[-1] = np.log(1.0 / BUCKETS)
     logs[:, 0] = 0
-    return Model(tuple(languages), logs)
+    return Model(tuple(languages), logs, share)
 
 
 def host_of(url: Column) -> Column:
@@ -121,6 +128,11 @@ def domain_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)
 
 
+def unfitted(model: Model, text: Column) -> Column:
+    """Whether a row with this text stood outside the sample that the model was fitted on."""
+    return hash_share(text) >= model.share
+
+
 def score_udf(model: Model):
     @F.pandas_udf("array<double>")
     def f(t: pd.Series) -> pd.Series:
@@ -130,73 +142,93 @@ def score_udf(model: Model):
     return f
 
 
-def host_counts(df: DataFrame, model: Model, text: str, host: Column) -> DataFrame:
-    """``(host, n0, n1, ...)``: texts of each host by the language their trigrams favour; texts without evidence count for none."""
-    s = df.select(host.alias("host"), score_udf(model)(F.col(text)).alias("s"))
+def host_votes(rows: DataFrame, n: int) -> DataFrame:
+    """``(host, votes, around)``: texts of each host, and of its domain, by the language their trigrams favour; texts without evidence count for none."""
     best = F.array_position("s", F.array_max("s"))
-    votes = [F.sum(((best == i + 1) & (F.array_max("s") < 0)).cast("double")).alias(f"n{i}") for i in range(len(model.languages))]
-    return s.where("host is not null").groupBy("host").agg(*votes)
+    one = [F.sum(((best == i + 1) & (F.array_max("s") < 0)).cast("double")).alias(f"n{i}") for i in range(n)]
+    names = [f"n{i}" for i in range(n)]
+    hosts = rows.where("host is not null").groupBy("host").agg(*one).withColumn("_domain", domain_of(F.col("host")))
+    domains = hosts.groupBy("_domain").agg(F.array(*(F.sum(c) for c in names)).alias("around"))
+    return hosts.join(domains, "_domain").select("host", F.array(*names).alias("votes"), "around")
 
 
-def host_priors(counts: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
-    """``(host, prior)`` smoothed towards the host's domain and that towards all rows, and the prior of all rows."""
-    names = [f"n{i}" for i in range(n)]
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names)).collect()[0]
-    whole = [(total[c] + 1.0) / (sum(total) + n) for c in names]
-    h = counts.withColumn("_domain", domain_of(F.col("host")))
-    d = h.groupBy("_domain").agg(*(F.sum(c).alias(f"d{i}") for i, c in enumerate(names)))
-    size = lambda p: sum((F.col(f"{p}{i}") for i in range(1, n)), F.col(f"{p}0"))
-    domain = [(F.col(f"d{i}") + PSEUDO * whole[i]) / (size("d") + PSEUDO) for i in range(n)]
-    d = d.select("_domain", *(c.alias(f"q{i}") for i, c in enumerate(domain)))
-    own = [(F.col(f"n{i}") + PSEUDO * F.col(f"q{i}")) / (size("n") + PSEUDO) for i in range(n)]
-    return h.join(d, "_domain").select("host", F.array(*own).alias("prior")), whole
-
-
-def identify(
-    df: DataFrame, model: Model, text: str = "text", declared: Column | None = None, url: Column | None = None, host: Column | None = None,
-    accepted: tuple[str, ...] | None = None, least: float = LEAST, prefix: str = "lid_",
+def smoothed(votes: np.ndarray, around: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Priors of hosts: votes (rows, languages) towards those of the domain, and these towards those of all rows."""
+    size = lambda a: a.sum(axis=1, keepdims=True)
+    whole = (total + 1) / (size(total) + total.shape[1])
+    domain = (around + PSEUDO * whole) / (size(around) + PSEUDO)
+    return (votes + PSEUDO * domain) / (size(votes) + PSEUDO)
+
+
+def fused(model: Model, total: np.ndarray, s: np.ndarray, tags: list, suffixes: list, votes: list, around: list) -> tuple[np.ndarray, np.ndarray]:
+    """Language and posterior of rows: text scores, evidence of tags and suffixes, and priors less each row's own vote."""
+    langs, n = model.languages, len(model.languages)
+    has = (s < 0).any(axis=1)
+    hosted = np.asarray([v is not None for v in votes], bool)
+    stack = lambda a: np.asarray([np.zeros(n) if v is None else v for v in a], float).reshape(len(s), n)
+    own = np.zeros((len(s), n))
+    best = s.argmax(axis=1)
+    voted = np.flatnonzero(has & hosted & (best < n))
+    own[voted, best[voted]] = 1
+    prior = smoothed(stack(votes) - own, stack(around) - own, total[None, :] - own)
+    s = s + np.log(np.hstack([prior * 0.98, np.full((len(s), 1), 0.02)]))
+    for values, trust, names in ((tags, DECLARED, {x: x for x in langs}), (suffixes, SUFFIX, SUFFIXES)):
+        for r, v in enumerate(values):
+            lang = names.get(v)
+            if lang in langs:
+                e = np.full(n + 1, np.log((1 - trust) / n))
+                e[langs.index(lang)] = np.log(trust)
+                s[r] += e
+    s = np.exp(s - s.max(axis=1, keepdims=True))
+    s /= s.sum(axis=1, keepdims=True)
+    best = s.argmax(axis=1)
+    return np.where(has, np.asarray([*langs, UNKNOWN], object)[best], UNKNOWN), np.where(has, s[np.arange(len(s)), best], 0.0)
+
+
+def verdicts(
+    df: DataFrame, model: Model, key: str, text: str = "text", declared: Column | None = None, url: Column | None = None, host: Column | None = None,
+    accepted: tuple[str, ...] | None = None, least: float = LEAST,
 ) -> DataFrame:
-    """The input with ``{prefix}lang``, ``{prefix}confidence`` and ``{prefix}rejected``.
+    """``key, lang, confidence, rejected`` of every row; ``key`` is carried along and need not be unique.
 
     ``declared`` is a language tag as markup gives it; ``url`` gives the suffix, and the host where ``host`` is not given.
     """
     small_batches(df.sparkSession)
-    langs, n = model.languages, len(model.languages)
-    accepted = langs if accepted is None else accepted
-    host = host if host is not None else host_of(url) if url is not None else F.lit(None).cast("string")
-    host = F.when(host != "", host)
-    counts = stored(host_counts(df, model, text, host), "hosts")
-    table, whole = host_priors(counts, n)
-    table = table.select(F.col("host").alias(f"{prefix}host"), F.col("prior").alias(f"{prefix}prior"))
-    if counts.count() <= BROADCAST_HOSTS:
+    accepted = model.languages if accepted is None else accepted
+    none = F.lit(None).cast("string")
+    host = host if host is not None else host_of(url) if url is not None else none
+    suffix = F.regexp_extract(host_of(url), r"([^.]+)$", 1) if url is not None else none
+    tag = F.lower(F.regexp_extract(declared, r"^([A-Za-z]+)", 1)) if declared is not None else none
+    rows = df.select(
+        F.col(key).alias("key"), F.when(host != "", host).alias("host"), tag.alias("tag"), suffix.alias("suffix"), score_udf(model)(F.col(text)).alias("s")
+    )
+    rows = stored(rows, "scores")
+    n = len(model.languages)
+    table = stored(host_votes(rows, n), "hosts")
+    known = table.agg(F.count("*").alias("hosts"), *(F.coalesce(F.sum(F.col("votes")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(n))).collect()[0]
+    total = np.asarray([known[f"n{i}"] for i in range(n)], float)
+    if known["hosts"] <= BROADCAST_HOSTS:
         table = F.broadcast(table)
-    suffix = F.regexp_extract(host_of(url), r"([^.]+)$", 1) if url is not None else F.lit(None).cast("string")
-    tag = F.lower(F.regexp_extract(declared, r"^([A-Za-z]+)", 1)) if declared is not None else F.lit(None).cast("string")
 
     @F.pandas_udf("lang string, confidence double")
-    def fuse(texts: pd.Series, tags: pd.Series, suffixes: pd.Series, prior: pd.Series) -> pd.DataFrame:
+    def fuse(s: pd.Series, tags: pd.Series, suffixes: pd.Series, votes: pd.Series, around: pd.Series) -> pd.DataFrame:
         fresh("language")
-        s = model.scores(texts.tolist())
-        has = (s < 0).any(axis=1)
-        base = np.asarray([whole if p is None else p for p in prior])
-        s += np.log(np.hstack([base * 0.98, np.full((len(s), 1), 0.02)]))
-        for values, trust, names in ((tags, DECLARED, {x: x for x in langs}), (suffixes, SUFFIX, SUFFIXES)):
-            for r, v in enumerate(values):
-                lang = names.get(v)
-                if lang in langs:
-                    e = np.full(n + 1, np.log((1 - trust) / n))
-                    e[langs.index(lang)] = np.log(trust)
-                    s[r] += e
-        s = np.exp(s - s.max(axis=1, keepdims=True))
-        s /= s.sum(axis=1, keepdims=True)
-        best = s.argmax(axis=1)
-        names = np.asarray([*langs, UNKNOWN], object)
-        return pd.DataFrame({"lang": np.where(has, names[best], UNKNOWN), "confidence": np.where(has, s[np.arange(len(s)), best], 0.0)})
-
-    out = df.withColumn(f"{prefix}host", host).join(table, f"{prefix}host", "left")
-    out = out.withColumn(f"{prefix}r", fuse(F.col(text), tag, suffix, F.col(f"{prefix}prior")))
-    lang, conf = F.col(f"{prefix}r.lang"), F.col(f"{prefix}r.confidence")
-    return out.select(
-        *own_columns(df, f"{prefix}lang", f"{prefix}confidence", f"{prefix}rejected"), lang.alias(f"{prefix}lang"), conf.alias(f"{prefix}confidence"),
-        (~lang.isin(*accepted) | (conf < least)).alias(f"{prefix}rejected"),
-    )
+        lang, confidence = fused(model, total, np.stack(s.to_numpy()), tags.tolist(), suffixes.tolist(), votes.tolist(), around.tolist())
+        return pd.DataFrame({"lang": lang, "confidence": confidence})
+
+    out = rows.join(table, "host", "left").select("key", fuse("s", "tag", "suffix", "votes", "around").alias("r"))
+    return out.select("key", "r.lang", "r.confidence", (~F.col("r.lang").isin(*accepted) | (F.col("r.confidence") < least)).alias("rejected"))
+
+
+def identify(df: DataFrame, model: Model, *args, id_col: str | None = None, prefix: str = "lid_", **kwargs) -> DataFrame:
+    """The input with ``{prefix}lang``, ``{prefix}confidence`` and ``{prefix}rejected``; further arguments as in ``verdicts``.
+
+    Rows meet their verdicts by ``id_col``; without one, or where it does not name rows, they are numbered and stored first.
+    """
+    key = f"{prefix}row"
+    rows, _ = row_keys(df, key, id_col)
+    found = verdicts(rows, model, key, *args, **kwargs)
+    found = found.select(F.col("key").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in ("lang", "confidence", "rejected")))
+    own = own_columns(df, f"{prefix}lang", f"{prefix}confidence", f"{prefix}rejected")
+    rows = rows.select(key, *own)
+    return rows.join(found, key).drop(key)

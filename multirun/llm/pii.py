@@ -134,7 +134,7 @@ def _overlaps(c: Column, spans: Column) -> Column:
 def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, precision: float = PRECISION) -> gbt.Boosted:
     """Trees on candidates of at most ``rows`` documents, labelled by overlap with a base span of their kind."""
     t = F.col("t")
-    sample = bounded_sample(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")), "t", rows)
+    sample = bounded_sample(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")), "t", rows)[0]
     base = base_spans(t)
     rows_ = sample.select("t", candidates(t).alias("c"), *(base[k].alias(f"b{i}") for i, k in enumerate(KINDS)))
     rows_ = rows_.select("t", F.explode("c").alias("c"), *(f"b{i}" for i in range(len(KINDS))))

@@ -50,13 +50,11 @@ def op6_token_files(spark, d):
 
 @query()
 def op9_language_id(spark, d):
-    """Documents carry no address: their source stands for the host and their declared language for the markup's."""
+    """Documents carry no address: their source stands for the host and their declared language for the markup's, but where the model was fitted on it."""
     docs = table(spark, d, "documents")
     model = langid.fit(docs)
-    found = langid.identify(docs.select("doc_id", "text", "lang", "source"), model, declared=F.col("lang"), host=F.col("source"))
-    return found.select(
-        "doc_id", F.col("lid_lang").alias("language"), F.round("lid_confidence", 4).alias("confidence"), F.col("lid_rejected").alias("rejected")
-    )
+    found = langid.verdicts(docs, model, "doc_id", declared=F.when(langid.unfitted(model, F.col("text")), F.col("lang")), host=F.col("source"))
+    return found.select(F.col("key").alias("doc_id"), F.col("lang").alias("language"), F.round("confidence", 4).alias("confidence"), "rejected")
 
 
 @query()

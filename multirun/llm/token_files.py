@@ -3,8 +3,10 @@
 A file set is a Parquet table of blocks in document order. A block holds the ids of consecutive documents
 back to back as unsigned 16- or 32-bit numbers, and the documents' end positions in it as an Elias-Fano
 sequence: low bits packed, high bits as a unary bit vector, and a select sample for each 64th one bit, so a
-boundary is found without a table of 64-bit offsets. Blocks are bounded, so neither writer nor reader holds
-more than one block and one document.
+boundary is found without a table of 64-bit offsets. The documents' own ids, which ascend, are another such
+sequence. ``read`` asks select for each document's boundaries; ``fetch`` finds single documents by binary
+search over select in the blocks whose id range holds them. Blocks are bounded, so neither writer nor reader
+holds more than one block and one document.
 
 Cases: a null or empty text has the end id alone; rows with equal ids stand beside each other, ordered by
 text; a null id comes first; an empty table gives no blocks. Other columns are not read.
@@ -27,7 +29,16 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 13
 #: One bits between two select samples.
 SAMPLE = 64
 
-BLOCKS = "part int, seq int, doc_ids array<bigint>, n_ids bigint, wide boolean, low_bits int, low binary, high binary, samples binary, ids binary"
+#: Blocks up to which their starts are sent to every task (about 20 bytes each); more are joined.
+BROADCAST_BLOCKS = 500_000
+
+#: ``n_null`` documents without an id come first; the others' ids, less ``id_base``, are one sequence, ends of all documents the other.
+BLOCKS = (
+    "part int, seq int, n_docs int, n_null int, id_base bigint, id_last bigint, id_bits int, id_low binary, id_high binary, id_samples binary, "
+    "n_ids bigint, wide boolean, low_bits int, low binary, high binary, samples binary, ids binary"
+)
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+SCHEMA = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in BLOCKS.split(", "))])
 
 
 class EliasFano:
@@ -57,13 +68,27 @@ class EliasFano:
         """The i-th value alone: from the nearest sample, past at most 63 one bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(np.frombuffer(self.samples, "<u4", 1, i // SAMPLE * 4)[0])
+        at = int.from_bytes(self.samples[i // SAMPLE * 4 : i // SAMPLE * 4 + 4], "little")
         left = i % SAMPLE
-        while left:
-            at += 1
-            left -= self.high[at >> 3] >> (at & 7) & 1
+        if left:
+            byte, past = at >> 3, (at & 7) + 1
+            ones = self.high[byte] >> past << past
+            while (n := ones.bit_count()) < left:
+                left, byte = left - n, byte + 1
+                ones = self.high[byte]
+            for _ in range(left - 1):
+                ones &= ones - 1
+            at = (byte << 3) + (ones & -ones).bit_length() - 1
         return at - i << self.low_bits | self._low(i)
 
+    def find(self, value: int) -> int:
+        """The first place whose value is at or above this one."""
+        a, z = 0, self.n
+        while a < z:
+            m = (a + z) // 2
+            a, z = (m + 1, z) if self.select(m) < value else (a, m)
+        return a
+
     def values(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n] - np.arange(self.n)
         if not self.low_bits:
@@ -79,11 +104,6 @@ class EliasFano:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts in ascending id order and writes the block files."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([
-        ("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("wide", pa.bool_()), ("low_bits", pa.int32()),
-        ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()), ("ids", pa.binary()),
-    ])
-
     def blocks(batches):
         from pyspark import TaskContext
 
@@ -94,11 +114,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
         def close():
             nonlocal seq, docs, ids, ends, n
             ef = EliasFano.of(np.asarray(ends, np.int64), n + 1)
+            known = [i for i in docs if i is not None]
+            base, last = (known[0], known[-1]) if known else (0, 0)
+            own = EliasFano.of(np.asarray([i - base for i in known], np.uint64), last - base + 1)
             raw = np.frombuffer(b"".join(ids), "<u4")
             wide = bool(len(raw)) and int(raw.max()) > 0xFFFF
-            row = [part, seq, docs, n, wide, ef.low_bits, ef.low, ef.high, ef.samples, raw.astype("<u4" if wide else "<u2").tobytes()]
+            row = [part, seq, len(docs), len(docs) - len(known), base, last, own.low_bits, own.low, own.high, own.samples]
+            row += [n, wide, ef.low_bits, ef.low, ef.high, ef.samples, raw.astype("<u4" if wide else "<u2").tobytes()]
             seq, docs, ids, ends, n = seq + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -130,6 +154,48 @@ def starts(blocks: DataFrame) -> DataFrame:
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
 
 
+class OpenBlock:
+    """One row of a file set, opened; documents are found by their place in it."""
+
+    def __init__(self, row: dict):
+        self.base, self.n, self.n_null, self.id_base = row["base"], row["n_docs"], row["n_null"], row["id_base"]
+        self.names = EliasFano(self.n - self.n_null, row["id_bits"], row["id_low"], row["id_high"], row["id_samples"])
+        self.ends = EliasFano(self.n, row["low_bits"], row["low"], row["high"], row["samples"])
+        self.raw, self.wide = row["ids"], row["wide"]
+
+    def name(self, k: int) -> int | None:
+        return None if k < self.n_null else self.id_base + self.names.select(k - self.n_null)
+
+    def places(self, doc_id: int) -> range:
+        """Places of the documents with an id."""
+        return range(self.n_null + self.names.find(doc_id - self.id_base), self.n_null + self.names.find(doc_id - self.id_base + 1))
+
+    def row(self, k: int, begin: int | None = None) -> tuple:
+        """``doc_id, start, n_tokens, ids_crc32, ids`` of the k-th document; ``begin`` is where the one before it ends, if known."""
+        begin = (self.ends.select(k - 1) if k else 0) if begin is None else begin
+        end, width = self.ends.select(k), 4 if self.wide else 2
+        ids = self.raw[width * begin : width * end]
+        if not self.wide:
+            ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+        return self.name(k), self.base + begin, end - begin, zlib.crc32(ids), ids
+
+
+def based(blocks: DataFrame) -> DataFrame:
+    """Blocks with their starts; these are a few bytes a block, so blocks themselves stay where they are read."""
+    table = starts(blocks)
+    if blocks.count() <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
+    return blocks.join(table, ["part", "seq"])
+
+
+def _read_batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    names, types = zip(*(x.split() for x in READ.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    if not with_ids:
+        cols[-1] = [None] * len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
+
+
 def read(spark, path: str, with_ids: bool = True) -> DataFrame:
     """One row per document from the files: its start over all files, length, crc32 and ids as little-endian 32-bit numbers."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
@@ -137,18 +203,32 @@ def read(spark, path: str, with_ids: bool = True) -> DataFrame:
     def rows(batches):
         for b in batches:
             for r in range(b.num_rows):
-                g = lambda c: b.column(b.schema.get_field_index(c))[r].as_py()  # noqa: E731, B023
-                ids = g("doc_ids")
-                ends = EliasFano(len(ids), g("low_bits"), g("low"), g("high"), g("samples")).values()
-                raw = np.frombuffer(g("ids"), "<u4" if g("wide") else "<u2").astype("<u4").tobytes()
-                begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                own = [raw[4 * s : 4 * e] for s, e in zip(begin, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(begin + g("base"), pa.int64()), pa.array(ends - begin, pa.int64()),
-                    pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own if with_ids else [None] * len(own), pa.binary()),
-                ], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-    return blocks.join(starts(blocks), ["part", "seq"]).mapInArrow(rows, READ)
+                block, begin, out = OpenBlock(b.slice(r, 1).to_pylist()[0]), 0, []
+                for k in range(block.n):
+                    out.append(block.row(k, begin))
+                    begin += out[-1][2]
+                yield _read_batch(out, with_ids)
+
+    return based(blocks).mapInArrow(rows, READ)
+
+
+def fetch(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """As read, for the documents with these ids (up to some thousands): blocks whose id range holds none are pruned by their statistics."""
+    wanted = sorted(set(doc_ids))
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    if wanted:
+        picked = blocks.where((F.col("id_last") >= wanted[0]) & (F.col("id_base") <= wanted[-1]) & (F.col("n_docs") > F.col("n_null")))
+    else:
+        picked = blocks.limit(0)
+
+    def rows(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                block = OpenBlock(b.slice(r, 1).to_pylist()[0])
+                yield _read_batch([block.row(k) for i in wanted for k in block.places(i)], True)
+
+    table = starts(blocks)
+    return picked.join(F.broadcast(table) if blocks.count() <= BROADCAST_BLOCKS else table, ["part", "seq"]).mapInArrow(rows, READ)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -91,7 +91,7 @@ def seed_labels(urls: DataFrame, url: str = "url") -> DataFrame:
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> tuple[gbt.Boosted, dict[str, int], int]:
     """Trees, suffix rates and the overall rate, from at most ``rows`` labelled URLs; a fifth of them set the threshold."""
-    sample = bounded_sample(labelled.where("url is not null and blocked is not null").select("url", "blocked"), "url", rows)
+    sample = bounded_sample(labelled.where("url is not null and blocked is not null").select("url", "blocked"), "url", rows)[0]
     sample = sample.select("*", suffix(host(F.col("url"))).alias("_s"))
     seen = sample.groupBy("_s").agg(F.sum(F.col("blocked").cast("int")).alias("b"), F.count("*").alias("n")).orderBy(F.desc("n"), "_s").collect()
     total, bad = sum(r["n"] for r in seen), sum(r["b"] for r in seen)

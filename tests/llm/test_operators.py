@@ -293,11 +293,26 @@ def test_token_files_odd_cases(odd, none):
     assert token_files.tokenized(none, path).count() == 0
 
 
+def test_token_files_fetch_single_documents(spark, odd, tmp_path, monkeypatch):
+    path, files = queries.vocabulary("byte_bpe_50k.json"), str(tmp_path / "f")
+    data = [(i * 7 - 500, f"text number {i}") for i in range(300)] + [(-500, "again"), (2**62, "far"), (-(2**62), "low"), (None, "no id")]
+    monkeypatch.setattr(token_files, "BLOCK_DOCS", 40)
+    token_files.write(spark.createDataFrame(data, "doc_id long, text string"), files, path)
+    every = {}
+    for r in token_files.read(spark, files).collect():
+        every.setdefault(r.doc_id, []).append(r)
+    wanted = [-500, -493, 1593, 2**62, -(2**62), 3]
+    got = token_files.fetch(spark, files, wanted).collect()
+    assert sorted(map(repr, got)) == sorted(repr(r) for i in wanted for r in every.get(i, [])) and len(got) == 6
+    assert token_files.fetch(spark, files, []).count() == 0 and sum(map(len, every.values())) == len(data)
+
+
 @given(st.lists(st.integers(0, 5000), max_size=300))
 def test_elias_fano(values):
     v = np.cumsum(values) if values else np.zeros(0, np.int64)
     ef = token_files.EliasFano.of(v, int(v[-1]) + 1 if len(v) else 1)
     assert ef.values().tolist() == v.tolist() and [ef.select(i) for i in range(len(v))] == v.tolist()
+    assert all(ef.find(x) == v.tolist().index(x) for x in v.tolist()) and ef.find(10**9) == len(v)
     assert len(v) < 100 or ef.size() < 4 * len(v)
 
 
@@ -550,11 +565,46 @@ def test_language_id_odd_cases(odd, none, docs):
     assert langid.identify(none, langid.fit(none)).count() == 0
 
 
-def test_host_priors_are_smoothed(spark):
-    c = spark.createDataFrame([("a.x.org", 90.0, 0.0), ("b.x.org", 0.0, 0.0), ("c.y.org", 0.0, 30.0)], "host string, n0 double, n1 double")
-    t, whole = langid.host_priors(c, 2)
-    p = {r.host: r.prior[0] for r in t.collect()}
-    assert p["a.x.org"] > p["b.x.org"] > whole[0] > p["c.y.org"] and abs(sum(whole) - 1) < 1e-9
+def test_host_priors_are_smoothed():
+    votes, total = np.asarray([[90.0, 0.0], [0.0, 0.0], [0.0, 30.0]]), np.asarray([[90.0, 30.0]])
+    p = langid.smoothed(votes, np.asarray([[90.0, 0.0], [90.0, 0.0], [0.0, 30.0]]), total)[:, 0]
+    assert p[0] > p[1] > 91 / 122 > p[2] and np.allclose(langid.smoothed(votes, votes, total).sum(axis=1), 1)
+
+
+def test_language_id_against_brute_force(spark, docs):
+    """Every step but the trigram table in plain Python: likelihoods, votes by host and domain less the row's own, declared tags, posterior."""
+    rows = [(r.doc_id, r.text, r.lang, f"{r.source}.h{r.doc_id % 3}.org" if r.doc_id % 7 else None) for r in docs.collect()]
+    rows += [(900, None, "en", "x.h0.org"), (901, "12 34", "fr", "x.h0.org"), (902, "the", None, "x.h1.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    model = langid.fit(df, rows=60)
+    assert 0 < model.share < 1_000_000
+    langs, k = model.languages, len(model.languages)
+    fitted = {r.doc_id for r in df.where(~langid.unfitted(model, F.col("text"))).collect()}
+    scores, vote = {}, {}
+    for i, text, _, _ in rows:
+        clean = [x if x > 127 else x | 32 if chr(x).isalpha() else 32 for x in b" " + (text or "").encode() + b"  "]
+        tri = [(((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 17) for a, b, c in zip(clean, clean[1:], clean[2:]) if (a, b) != (32, 32)]
+        scores[i] = [sum(float(t[x]) for x in tri) * langid.TEMPER for t in model.table] if any(tri) else None
+        if scores[i] and max(range(k + 1), key=lambda c: scores[i][c]) < k:  # noqa: B023
+            vote[i] = max(range(k), key=lambda c: scores[i][c])  # noqa: B023
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    got = {r.key: r for r in langid.verdicts(df, model, "doc_id", declared=F.when(langid.unfitted(model, F.col("text")), F.col("lang")), host=F.col("host")).collect()}
+    for i, _, tag, host in rows:
+        if scores[i] is None:
+            assert (got[i].lang, got[i].rejected) == ("und", True)
+            continue
+        others = [(j, h) for j, _, _, h in rows if h is not None and j in vote and j != i]
+        whole = [(sum(vote[j] == c for j, _ in others) + 1) / (len(others) + k) for c in range(k)]
+        near = [j for j, h in others if host is not None and domain(h) == domain(host)]
+        mid = [(sum(vote[j] == c for j in near) + langid.PSEUDO * whole[c]) / (len(near) + langid.PSEUDO) for c in range(k)]
+        own = [j for j, h in others if h == host]
+        prior = [(sum(vote[j] == c for j in own) + langid.PSEUDO * mid[c]) / (len(own) + langid.PSEUDO) for c in range(k)]
+        logs = [s + np.log(p) for s, p in zip(scores[i], [*(x * 0.98 for x in prior), 0.02], strict=True)]
+        if tag is not None and i not in fitted:
+            logs = [s + np.log(langid.DECLARED if c < k and langs[c] == tag else (1 - langid.DECLARED) / k) for c, s in enumerate(logs)]
+        post = np.exp(np.asarray(logs) - max(logs))
+        post /= post.sum()
+        assert got[i].lang == [*langs, "und"][int(post.argmax())] and abs(got[i].confidence - post.max()) < 1e-6
 
 
 # --- op10
