@@ -1,19 +1,26 @@
-"""N-gram Jaccard self-join with MinHash bands and exact verification.
+"""N-gram Jaccard self-join through a MinHash LSH forest, with exact verification.
 
 A document's set is its distinct runs of five words (all its words if fewer). Documents of equal sets form
 one class with a representative, counted before anything is joined, so copies cost one row each.
 
-Banding with a fixed depth stands in for an LSH forest: every tree hashes ``depth`` MinHash values of a
-representative into one label, and documents meet where labels are equal. The depth is one for the table, the
-longest at which pairs at the threshold meet in some tree with the target probability; no prefix is shortened
-on its own. A bucket of equal labels is covered by leaders: a document is linked to every leader whose sketch
-is near (``near_link``), and becomes one if none is very near (``NEAR_COVER``). By the triangle inequality of
-the Jaccard distance two documents at the threshold then share a leader, while a bucket of thousands of copies
-has few leaders and as many links as documents, not pairs.
-
-Links join documents into families by a distributed connected-components run. Only documents of a family
-of two or more are verified, exactly, on their sets: families are cut into blocks of a bounded number of
-documents, a task gets two blocks, and counts its pairs inside arrays. No pair is written as a row.
+Every tree of the forest holds each representative's label, a sequence of LABEL MinHash values, in sorted
+order, so that labels with a common prefix stand together: a trie, laid out flat. Matching begins with whole
+labels and shortens prefixes, one value at a time and one tree after another, until a pair at the threshold
+meets in some tree with the target probability (``depths``): at 0.8 most trees stop at six values and as few
+as needed at five. A representative whose label shares no such prefix with its neighbours in sorted order
+leaves that tree; the others' subtries are nodes. Sets too small to have a partner of another content at the
+threshold enter no tree.
+
+A node is covered by leaders, in the order of its labels, deep matches first: a document is linked to every
+leader whose sketch is near (``near_link``), and becomes one if none is very near (``NEAR_COVER``). By the
+triangle inequality of the Jaccard distance two documents at the threshold then share a leader, while a node of
+thousands of near copies has few leaders and as many links as documents, not pairs.
+
+Candidate pairs, those that share a leader, are verified exactly on their sets. Links join documents into
+families (connected components). A family is verified as a whole, or, where that compares fewer pairs, by the
+groups of its leaders, each pair in the group of the least leader that both have; so a long chain of near
+documents costs what its groups cost. Groups are cut into blocks of a bounded number of documents, a task gets
+two blocks, and counts its pairs inside arrays. No pair is written as a row.
 
 Cases: a null or empty text, or one without words, has no set, is its own class and has no links; where an
 id is null or repeats, rows are numbered, every row is a document of its own and a class is named by the id
@@ -37,7 +44,7 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, LABEL = 20, 8
 #: Probability that a pair at the threshold meets in some tree.
 RECALL = 0.998
-#: MinHash values in a sketch, kept as a byte each; the first TREES * depth of TREES * LABEL others make the labels.
+#: MinHash values in a sketch, kept as a byte each; the first TREES * LABEL make the labels.
 SKETCH = 128
 #: Estimated similarity at which a leader covers a document, and what two estimates may err together (2.3 deviations).
 NEAR_COVER, SLACK = 0.8, 0.13
@@ -50,13 +57,20 @@ XOR = _RNG.integers(0, 1 << 32, N_HASH, dtype=np.uint32)
 MUL = _RNG.integers(0, 1 << 31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
-    """The most values in a label at which pairs at the threshold still meet often enough."""
+def depths(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> list[int]:
+    """Length of the prefix that counts as a match in each tree.
+
+    All begin at the whole label; prefixes are shortened by one value, tree after tree, until pairs at the
+    threshold meet in some tree often enough.
+    """
     if not 0 < threshold <= 1:
         raise ValueError(f"no Jaccard threshold: {threshold}")
+    out = [label] * trees
     for k in range(label, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
+        for t in range(trees):
+            out[t] = k
+            if 1 - math.prod(1 - threshold**d for d in out) >= recall:
+                return out
     raise ValueError(f"{trees} trees do not find pairs at {threshold} with probability {recall}")
 
 
@@ -111,29 +125,32 @@ def minhash(sets: list[np.ndarray], n: int = N_HASH) -> np.ndarray:
     return out
 
 
-SETS = "doc_id bigint, key binary, n bigint, labels array<bigint>, sketch binary"
+SETS = "doc_id bigint, key binary, n bigint, labels array<binary>, sketch binary"
+
+
+def labels_of(mins: np.ndarray) -> np.ndarray:
+    """(rows, trees) labels as bytes, 16 bits a value, of which byte order is the tries' order."""
+    spread = (mins[:, : TREES * LABEL] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(">u2")
+    return np.ascontiguousarray(spread).view(np.dtype((np.void, 2 * LABEL))).reshape(len(mins), TREES)
 
 
-def signatures(docs: DataFrame, k: int, words: int = WORDS) -> DataFrame:
-    """One row per document: the key of its set, its labels and its sketch; null where there is no set."""
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row per document: the key of its set, its labels and its sketch; null and no labels where there is no set."""
 
     def f(batches):
         for b, data, off in text_groups(batches):
             sets = shingles(data, off, words)
             full = [i for i, s in enumerate(sets) if len(s)]
             mins = minhash([sets[i] for i in full])
-            keys, labels, sketches, sizes = ([None] * len(sets) for _ in range(4))
+            keys, sketches, sizes = ([None] * len(sets) for _ in range(3))
             sk = (mins[:, :SKETCH] * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8)
-            lab = np.empty((len(full), TREES), np.uint64)
-            for t in range(TREES):
-                h = np.full(len(full), t + 1, np.uint64)
-                for c in range(k):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + mins[:, t * k + c])
-                lab[:, t] = h
             for r, i in enumerate(full):
-                keys[i], labels[i], sketches[i], sizes[i] = set_key(sets[i]), lab[r].view(np.int64).tolist(), sk[r].tobytes(), len(sets[i])
+                keys[i], sketches[i], sizes[i] = set_key(sets[i]), sk[r].tobytes(), len(sets[i])
+            flat = pa.py_buffer(labels_of(mins).tobytes())
+            values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * LABEL), len(full) * TREES, [None, flat]).cast(pa.binary())
+            ends = np.cumsum([0] + [TREES * (len(s) > 0) for s in sets]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "labels", "sketch"]
+                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, values), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "labels", "sketch"]
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(f, SETS)
@@ -147,26 +164,8 @@ def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - 1 / 256) / (1 - 1 / 256)
 
 
-def spanning(links: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """As many links as join the same ids: each id to the least one it is linked with."""
-    parent: dict[int, int] = {}
-
-    def top(k: int) -> int:
-        while parent.setdefault(k, k) != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for a, b in links:
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    pairs = [(k, top(k)) for k in parent if top(k) != k]
-    return [a for a, _ in pairs], [b for _, b in pairs]
-
-
 class Leaders:
-    """Covers one bucket by leaders, a chunk of rows at a time."""
+    """Covers one node by leaders, a chunk of rows at a time; links are (row, leader), a leader's own among them."""
 
     def __init__(self, threshold: float = THRESHOLD):
         self.ids, self.sketches, self.link = [], [], near_link(threshold)
@@ -187,23 +186,52 @@ class Leaders:
                 links += [(int(x), int(own[r])) for x in own[near]]
                 covered |= e >= NEAR_COVER
                 covered[r] = True
+                links.append((int(own[r]), int(own[r])))
                 self.ids.append(int(own[r]))
                 self.sketches.append(part[r])
         return links
 
 
-def bucket_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct links ``(a, b)`` between representatives that meet in some tree."""
-    # labels that no other representative has make no links; only the rest carries sketches
-    rows = reps.select("rep", F.explode("labels").alias("label"))
-    shared = rows.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-    rows = rows.join(shared, "label", "left_semi").join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "label")
+MATCHED = "node bigint, label binary, rep bigint"
+
+
+def _matched(batches):
+    """Rows sorted by node less those that are alone in theirs."""
+    held = None  # the last row so far, and whether it has company
+
+    def out(t: pa.Table, kept: np.ndarray):
+        return [pa.RecordBatch.from_arrays([c.combine_chunks() for c in p.columns], names=t.schema.names) for p in [t.filter(pa.array(kept))]]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        node = b.column(0).to_numpy()
+        same = node[1:] == node[:-1]
+        kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if held is not None:
+            kept[0] |= node[0] == held[0].column(0)[0].as_py()
+            yield from out(held[0], np.asarray([held[1] or bool(node[0] == held[0].column(0)[0].as_py())]))
+        yield from out(t.slice(0, t.num_rows - 1), kept[:-1])
+        held = t.slice(t.num_rows - 1), bool(kept[-1])
+    if held is not None:
+        yield from out(*held[:1], np.asarray([held[1]]))
+
+
+def forest_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Distinct links ``(a, b)`` of representatives with the leaders of the nodes they are in; a leader is linked with itself."""
+    long = F.array(*(F.lit(2 * k) for k in depths(threshold, recall)))
+    rows = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
+    node = F.xxhash64("tree", F.substring(F.col("label"), F.lit(1), F.element_at(long, F.col("tree") + 1)))
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "label").sortWithinPartitions("label", "rep")
+    rows = rows.select(node.alias("node"), "label", "rep").repartition(n, "node").sortWithinPartitions("node", "label", "rep")
+    # only rows with company carry sketches
+    rows = rows.mapInArrow(_matched, MATCHED).join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "node", "label")
+    rows = rows.repartition(n, "node").sortWithinPartitions("node", "label", "rep")
 
     def f(batches):
         fresh("text")
-        label, group = None, Leaders(threshold)
+        node, group = None, Leaders(threshold)
         waiting: tuple[list, list] = ([], [])
 
         def flush():
@@ -213,38 +241,39 @@ def bucket_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             sk.clear()
             return links
 
+        def out(links):
+            a, z = zip(*sorted(set(links)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
         for b in batches:
-            lab, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
+            own, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
             sk = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, SKETCH)
             links: list = []
-            cut = np.flatnonzero(np.diff(lab)) + 1
-            for i, j in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(lab)]]), strict=True):
+            cut = np.flatnonzero(np.diff(own)) + 1
+            for i, j in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(own)]]), strict=True):
                 if i == j:
                     continue
-                if lab[i] != label:
+                if own[i] != node:
                     links += flush()
-                    label, group = lab[i], Leaders(threshold)
+                    node, group = own[i], Leaders(threshold)
                 waiting[0].extend(ids[i:j].tolist())
                 waiting[1].extend(sk[i:j])
                 if len(waiting[0]) >= 4096:
                     links += flush()
             if links:
-                a, z = spanning(links)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+                yield out(links)
         if links := flush():
-            a, z = spanning(links)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+            yield out(links)
 
-    return rows.mapInArrow(f, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(f, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(id, root)`` for every id in a link: the least id it can reach.
+    """``(id, root)`` for every id in a stored table of links: the least id it can reach.
 
     Each round every id takes the least id known around it and then its root's root, so trees halve in
     height. Each round's table is written out; the next reads it, so a lost executor costs one round.
     """
-    links = stored(links, "links")
     both = links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o")))
     state = stored(both.groupBy("id").agg(F.least("id", F.min("o")).alias("root")), "roots")
     for _ in range(max_rounds):
@@ -289,12 +318,40 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) ->
     return np.nonzero(hit)
 
 
+def families(links: DataFrame, roots: DataFrame, weights: DataFrame) -> DataFrame:
+    """Groups to be verified, ``(root, rep, weight, n, leaders)``: whole families, or a family's leaders' groups where these compare fewer pairs.
+
+    ``leaders`` is null for a whole family; else a pair belongs to the group of the least leader that both have.
+    """
+    own = links.select(F.col("a").alias("rep"), F.col("b").alias("leader"))
+    placed = roots.select(F.col("id").alias("rep"), "root").join(weights, "rep")
+    sizes = placed.groupBy("root").agg(F.count("*").cast("double").alias("size"))
+    stars = own.groupBy("leader").agg(F.count("*").cast("double").alias("g")).join(roots.select(F.col("id").alias("leader"), "root"), "leader")
+    stars = stars.groupBy("root").agg(F.sum(F.col("g") * F.col("g")).alias("star"))
+    apart = stored(sizes.join(stars, "root").where((F.col("size") > BLOCK) & (F.col("star") < F.col("size") * F.col("size"))).select("root"), "apart")
+    whole = placed.join(apart, "root", "left_anti").select("root", "rep", "weight", "n", F.lit(None).cast("array<bigint>").alias("leaders"))
+    parted = placed.join(apart, "root", "left_semi").select("rep", "weight", "n")
+    lists = own.join(parted.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+    parted = parted.join(lists, "rep").select(F.explode("leaders").alias("root"), "rep", "weight", "n", "leaders")
+    return whole.unionByName(parted)
+
+
+def elsewhere(leaders: list, group: int) -> np.ndarray:
+    """Which pairs of rows have a common leader below this group's: they are counted there."""
+    below = sorted({x for own in leaders for x in own if x < group})
+    number = {x: k for k, x in enumerate(below)}
+    has = np.zeros((len(leaders), len(below)), np.float32)
+    for r, own in enumerate(leaders):
+        has[r, [number[x] for x in own if x < group]] = 1
+    return has @ has.T > 0
+
+
 def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """Exact links inside families, as ``(rep, root, links)`` sums and spanning links ``(rep, to)``.
+    """Exact links inside groups, as ``(rep, root, links)`` sums and spanning links ``(rep, to)``.
 
-    ``family`` has ``rep, root, weight, n`` (documents in the class, shingles) for families of two or more.
+    ``family`` is as ``families`` gives it: weight is documents in the class, n shingles.
     """
-    # a row's block by its hash inside its family: bounded blocks, of which a task holds two
+    # a row's block by its hash inside its group: bounded blocks, of which a task holds two
     n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int")
     sized = family.join(family.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("volume")), "root")
     sized = sized.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
@@ -304,11 +361,11 @@ def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) ->
             out = [s.view(np.int64) for s in shingles(data, off, words)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["rep", "set"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(family.select("rep"), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(family.select("rep").distinct(), "rep", "left_semi")
     held = texts.mapInArrow(sets, "rep bigint, set array<bigint>").join(sized, "rep")
-    # block i meets every block j >= i: a row goes to one task per block of its family
+    # block i meets every block j >= i: a row goes to one task per block of its group
     tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    held = held.select("rep", "root", "weight", "set", "block", F.explode(tiles).alias("t")).select("rep", "root", "weight", "set", "block", "t.i", "t.j")
+    held = held.select("rep", "root", "weight", "set", "leaders", "block", F.explode(tiles).alias("t")).select("rep", "root", "weight", "set", "leaders", "block", "t.i", "t.j")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         fresh("pairs")
@@ -322,6 +379,9 @@ def verify(family: DataFrame, docs: DataFrame, threshold: float, words: int) ->
         if len(own) and (other is None or len(other)):
             x, y = _pairs([arrays[k] for k in own], None if other is None else [arrays[k] for k in other], threshold)
             x, y = own[x], (own if other is None else other)[y]
+            if pdf["leaders"].iloc[0] is not None:
+                here = ~elsewhere([*pdf["leaders"]], int(pdf["root"].iloc[0]))[x, y]
+                x, y = x[here], y[here]
             np.add.at(links, x, weight[y])
             np.add.at(links, y, weight[x])
 
@@ -357,17 +417,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> D
 def linked(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """As join, for unique ids without nulls."""
     small_batches(docs.sparkSession)
-    sig = stored(signatures(docs, depth(threshold), words), "signatures")
+    depths(threshold)
+    sig = stored(signatures(docs, words), "signatures")
     keyed = sig.where("key is not null")
-    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    # stored, so that a large class meets its row in a join of plain exchanges, which can be split
+    classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n")), "classes")
     member = stored(keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "rep", "weight", "n"), "members")
-    reps = keyed.join(member.where("doc_id = rep").select(F.col("doc_id"), "weight"), "doc_id").select(F.col("doc_id").alias("rep"), "labels", "sketch")
-    roots = components(bucket_links(reps, threshold)).select(F.col("id").alias("rep"), "root")
-    weights = member.where("doc_id = rep").select("rep", "weight", "n")
-    family = stored(roots.join(weights, "rep"), "family")
+    weights = classes.select("rep", "weight", "n")
+    # two sets of which the smaller has n differ by one at least
+    able = weights.where(F.col("n") / (F.col("n") + 1) >= threshold - 1e-9).select(F.col("rep").alias("doc_id"))
+    reps = keyed.join(able, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "labels", "sketch")
+    links = stored(forest_links(reps, threshold), "links")
+    family = stored(families(links, components(links.where("a <> b")), weights), "family")
     found = stored(verify(family, docs, threshold, words), "verified")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
+    groups = components(stored(found.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), "links"))
     # stored, so that members of a large class are joined from plain exchanges, which can be split
     info = stored(links.join(groups.select(F.col("id").alias("rep"), F.col("root").alias("g")), "rep", "left"), "info")
     out = member.join(info, "rep", "left").select(

@@ -504,7 +504,7 @@ def test_leaders_keep_pairs_at_the_threshold():
     two[:22], three[:22], three[22:73] = 1, 1, 2
     ids, sketches = np.asarray([1, 2, 3]), np.asarray([one, two, three])
     assert forest.agree(sketches, sketches)[1, 2] > 0.55 and forest.agree(sketches, sketches)[0, 2] < 0.47
-    assert set(forest.Leaders(0.6).take(ids[:2], sketches[:2])) == {(2, 1)}
+    assert set(forest.Leaders(0.6).take(ids[:2], sketches[:2])) == {(2, 1), (1, 1)}
     for threshold in (0.5, 0.6, 0.7):
         near = forest.near_link(threshold)
         group = forest.Leaders(threshold)
@@ -530,9 +530,49 @@ def test_jaccard_join_at_other_thresholds(spark):
             forest.join(df, threshold)
 
 
-def test_forest_depth_meets_its_recall():
-    k = forest.depth()
-    assert 1 - (1 - 0.8**k) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** forest.TREES
+def test_prefixes_are_shortened_to_the_recall_and_no_further():
+    missed = lambda ds, t: np.prod([1 - t**d for d in ds])
+    for threshold in (0.5, 0.8, 0.9, 1.0):
+        got = forest.depths(threshold)
+        assert missed(got, threshold) <= 1 - forest.RECALL and max(got) - min(got) <= 1 and got == sorted(got)
+        longer = [*got]
+        longer[max(i for i, d in enumerate(got) if d == got[0])] += 1
+        assert min(got) == forest.LABEL or missed(longer, threshold) > 1 - forest.RECALL
+    assert forest.depths() == [5] * 2 + [6] * 18
+
+
+def test_nodes_are_common_prefixes(spark):
+    """Rows that stay are those whose label shares its tree's prefix with another row's."""
+    rng = random.Random(6)
+    labels = {i: [bytes(rng.choice(b"\0\1") for _ in range(2 * forest.LABEL)) for _ in range(forest.TREES)] for i in range(40)}
+    ds = forest.depths()
+    want = {(i, t) for i in labels for t in range(forest.TREES) if any(j != i and labels[j][t][: 2 * ds[t]] == labels[i][t][: 2 * ds[t]] for j in labels)}
+    rows = spark.createDataFrame([(i, *x) for i, own in labels.items() for x in enumerate(own)], "rep long, tree int, label binary")
+    for parts in (1, 3):
+        node = F.xxhash64("tree", F.substring(F.col("label"), F.lit(1), F.element_at(F.array(*(F.lit(2 * k) for k in ds)), F.col("tree") + 1)))
+        got = rows.select(node.alias("node"), "label", "rep").repartition(parts, "node").sortWithinPartitions("node", "label", "rep").mapInArrow(forest._matched, forest.MATCHED).collect()
+        assert len(got) == len(want) and {(r.rep, bytes(r.label)) for r in got} == {(i, labels[i][t]) for i, t in want}
+
+
+def test_jaccard_chains_are_verified_by_their_leaders_groups(spark, monkeypatch):
+    """A chain of near documents whose ends are far apart: fewer pairs are compared than the family has, and none is lost or counted twice."""
+    data = [(i, " ".join(f"w{k}" for k in range(4 * i, 4 * i + 120))) for i in range(800)] + [(5000 + i, f"{' '.join(f'v{k}' for k in range(60))} {i}") for i in range(20)]
+    monkeypatch.setattr(forest, "BLOCK", 8)
+    seen = []
+    monkeypatch.setattr(forest, "families", lambda *a, f=forest.families: seen.append(f(*a)) or seen[-1])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in forest.join(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute.near_groups(data)
+    assert seen[0].where("leaders is not null").count() > 100
+
+
+def test_jaccard_recall_of_queries(spark):
+    """Every document whose id is divisible by 20 against all, exactly: at least 0.9 of the links (all, on this table)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: brute.shingles(r.text) for r in docs.collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in forest.join(docs).collect()}
+    links = [(q, i) for q in sets if q % 20 == 0 for i in sets if i != q and sets[q] and sets[i] and len(sets[q] & sets[i]) >= 0.8 * len(sets[q] | sets[i])]
+    n = sum(got[q][1] for q in sets if q % 20 == 0)
+    assert 0 < 0.9 * len(links) <= n <= len(links) and sum(got[q][0] == got[i][0] for q, i in links) >= 0.9 * len(links)
 
 
 # --- op9
