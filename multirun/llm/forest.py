@@ -31,6 +31,7 @@ a threshold too low for the trees to meet the target at any depth (under 0.27),
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -164,11 +165,30 @@ def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - 1 / 256) / (1 - 1 / 256)
 
 
+def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many links as join the same ids: each id to the least one it is linked with."""
+    parent: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(k, top(k)) for k in parent if top(k) != k]
+
+
 class Leaders:
     """Covers one node by leaders, a chunk of rows at a time; links are (row, leader), a leader's own among them."""
 
     def __init__(self, threshold: float = THRESHOLD):
         self.ids, self.sketches, self.link = [], [], near_link(threshold)
+        #: Rows that each leader leads, itself among them.
+        self.size: Counter = Counter()
 
     def take(self, ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
         links = []
@@ -189,6 +209,7 @@ class Leaders:
                 links.append((int(own[r]), int(own[r])))
                 self.ids.append(int(own[r]))
                 self.sketches.append(part[r])
+        self.size.update(b for _, b in links)
         return links
 
 
@@ -218,8 +239,15 @@ def _matched(batches):
         yield from out(*held[:1], np.asarray([held[1]]))
 
 
-def forest_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Distinct links ``(a, b)`` of representatives with the leaders of the nodes they are in; a leader is linked with itself."""
+LINKS = "a bigint, b bigint, g bigint"
+
+
+def forest_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, every: bool = False) -> DataFrame:
+    """What the forest's nodes say of representatives, in as many rows as these have nodes.
+
+    Rows ``(a, b, 0)`` are links that join what shares a leader; rows ``(a, a, g)`` say that ``a`` leads ``g`` rows of a
+    node, itself among them. With ``every``, all pairs of a row and a leader are given as ``(row, leader, 1)`` instead.
+    """
     long = F.array(*(F.lit(2 * k) for k in depths(threshold, recall)))
     rows = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
     node = F.xxhash64("tree", F.substring(F.col("label"), F.lit(1), F.element_at(long, F.col("tree") + 1)))
@@ -233,6 +261,7 @@ def forest_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float =
         fresh("text")
         node, group = None, Leaders(threshold)
         waiting: tuple[list, list] = ([], [])
+        counts: list[tuple] = []
 
         def flush():
             ids, sk = waiting
@@ -242,8 +271,12 @@ def forest_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float =
             return links
 
         def out(links):
-            a, z = zip(*sorted(set(links)), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+            if every:
+                rows = [(a, b, 1) for a, b in set(links)]
+            else:
+                rows = [(a, b, 0) for a, b in spanning(links)] + counts
+                counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [[]] * 3], names=["a", "b", "g"])
 
         for b in batches:
             own, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
@@ -255,17 +288,19 @@ def forest_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float =
                     continue
                 if own[i] != node:
                     links += flush()
+                    counts += [(b, b, n) for b, n in group.size.items()]
                     node, group = own[i], Leaders(threshold)
                 waiting[0].extend(ids[i:j].tolist())
                 waiting[1].extend(sk[i:j])
                 if len(waiting[0]) >= 4096:
                     links += flush()
-            if links:
+            if links or (counts and not every):
                 yield out(links)
-        if links := flush():
-            yield out(links)
+        links = flush()
+        counts += [(b, b, n) for b, n in group.size.items()]
+        yield out(links)
 
-    return rows.mapInArrow(f, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(f, LINKS)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -318,22 +353,26 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) ->
     return np.nonzero(hit)
 
 
-def families(links: DataFrame, roots: DataFrame, weights: DataFrame) -> DataFrame:
+def families(reps: DataFrame, found: DataFrame, roots: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
     """Groups to be verified, ``(root, rep, weight, n, leaders)``: whole families, or a family's leaders' groups where these compare fewer pairs.
 
-    ``leaders`` is null for a whole family; else a pair belongs to the group of the least leader that both have.
+    ``leaders`` is null for a whole family; else a pair belongs to the group of the least leader that both have. Only
+    families taken apart are asked for every row's leaders, by another covering of their own nodes. Which way is
+    cheaper is estimated (a leader's group as twice its largest node); both give every link.
     """
-    own = links.select(F.col("a").alias("rep"), F.col("b").alias("leader"))
     placed = roots.select(F.col("id").alias("rep"), "root").join(weights, "rep")
     sizes = placed.groupBy("root").agg(F.count("*").cast("double").alias("size"))
-    stars = own.groupBy("leader").agg(F.count("*").cast("double").alias("g")).join(roots.select(F.col("id").alias("leader"), "root"), "leader")
+    stars = found.where("a = b").groupBy(F.col("a").alias("id")).agg((2 * F.max("g")).cast("double").alias("g")).join(roots, "id")
     stars = stars.groupBy("root").agg(F.sum(F.col("g") * F.col("g")).alias("star"))
     apart = stored(sizes.join(stars, "root").where((F.col("size") > BLOCK) & (F.col("star") < F.col("size") * F.col("size"))).select("root"), "apart")
-    whole = placed.join(apart, "root", "left_anti").select("root", "rep", "weight", "n", F.lit(None).cast("array<bigint>").alias("leaders"))
+    whole = placed.select("root", "rep", "weight", "n", F.lit(None).cast("array<bigint>").alias("leaders"))
+    if apart.isEmpty():
+        return whole
     parted = placed.join(apart, "root", "left_semi").select("rep", "weight", "n")
-    lists = own.join(parted.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+    own = stored(forest_links(reps.join(parted, "rep", "left_semi"), threshold, every=True), "leaders")
+    lists = own.groupBy(F.col("a").alias("rep")).agg(F.sort_array(F.collect_set("b")).alias("leaders"))
     parted = parted.join(lists, "rep").select(F.explode("leaders").alias("root"), "rep", "weight", "n", "leaders")
-    return whole.unionByName(parted)
+    return whole.join(apart, "root", "left_anti").unionByName(parted)
 
 
 def elsewhere(leaders: list, group: int) -> np.ndarray:
@@ -427,8 +466,9 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) ->
     # two sets of which the smaller has n differ by one at least
     able = weights.where(F.col("n") / (F.col("n") + 1) >= threshold - 1e-9).select(F.col("rep").alias("doc_id"))
     reps = keyed.join(able, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "labels", "sketch")
-    links = stored(forest_links(reps, threshold), "links")
-    family = stored(families(links, components(links.where("a <> b")), weights), "family")
+    met = stored(forest_links(reps, threshold), "met")
+    links = stored(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    family = stored(families(reps, met, components(links), weights, threshold), "family")
     found = stored(verify(family, docs, threshold, words), "verified")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(stored(found.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), "links"))
