@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TREES, DEPTH, RATE, LEAST_WEIGHT = 16, 3, 0.4, 5.0
+#: Distinct feature vectors that a fit takes, at most: a stated bound on what the driver gets.
+MOST_VECTORS = 200_000
 
 
 @dataclass
@@ -59,7 +61,7 @@ class Boosted:
 
 def counts(sample: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct feature vectors of a bounded sample with their positive and negative rows."""
-    g = sample.groupBy(*names).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").cast("double").alias("_n")).collect()
+    g = sample.groupBy(*names).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").cast("double").alias("_n")).limit(MOST_VECTORS).collect()
     x = np.asarray([[r[c] for c in names] for r in g], np.int64).reshape(len(g), len(names))
     pos = np.asarray([r["_p"] for r in g])
     return x, pos, np.asarray([r["_n"] for r in g]) - pos
@@ -105,9 +107,15 @@ def fit(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, names: list[str], trees
 
 
 def threshold(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float) -> float:
-    """The least score, of even odds or better, from which on the share of positives is at least ``precision``; infinite if there is none."""
+    """A score, of even odds or better, from which on the share of positives is at least ``precision``; infinite if there is none.
+
+    It lies halfway between the least score that keeps the precision and the next lower one, or at even odds where none is lower.
+    """
     order = np.argsort(-score, kind="stable")
     s, p, n = score[order], np.cumsum(pos[order]), np.cumsum(neg[order])
     last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
     good = np.flatnonzero(last & (p > 0) & (p >= precision * (p + n)))
-    return max(0.0, float(s[good[-1]]) - 1e-6) if len(good) else float("inf")
+    if not len(good):
+        return float("inf")
+    k = int(good[-1])
+    return max(0.0, float(s[k] + s[k + 1]) / 2 if k + 1 < len(s) else 0.0)

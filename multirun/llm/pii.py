@@ -3,14 +3,23 @@
 Base spans are leftmost non-overlapping matches per kind that pass the kind's check. Candidate generators
 propose further, overlapping spans: written-out and bracketed addresses, dotted and spaced digit groups,
 numbers without a plus. Trees score a candidate by its format (digits, groups, separators, checksum) and
-its context (neighbouring characters, hint words before it). They are fitted on a bounded sample with the
-base spans as labels; per kind, the threshold is the least score at which the held-out part keeps the
-target precision. Chosen candidates that overlap no base span and no better candidate are added.
+its context (neighbouring characters, hint words before it).
 
-Only built-in column functions are used. Offsets are code points, ends exclusive.
+The base formats say what personal data is, not what the trees are to find, so they make the examples: a base
+span of a bounded sample of documents is rewritten in a format that no base pattern matches (``REWRITES``) and
+put back between its neighbours; a candidate that is the rewritten span is a positive. Rewritten spans with a
+false checksum, octet or length, and all candidates of the documents themselves that touch no base span, are
+negatives. Per kind, the threshold is the least score at which documents held out of the fit keep the target
+precision. Chosen candidates that overlap no base span are added, of overlapping ones the better.
+
+Only built-in column functions are used. Offsets are code points, ends exclusive. Work grows in proportion to
+a text and its matches (times a logarithm): places come from the pieces between matches, arrays grow by chunks,
+and overlaps are found by sweeps over sorted spans.
 
 Cases: a null or empty text has no spans; very long runs of digits or address characters are read once
-(possessive patterns, starts only at a run's start); repeated rows agree; an empty table gives no rows.
+(possessive patterns, starts only at a run's start); a text of very many matches is handled like any other;
+repeated rows agree; an empty table gives no rows; where the sample has no span of a kind, no candidate of it
+is added.
 """
 
 from __future__ import annotations
@@ -28,8 +37,10 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Documents the trees are fitted on, at most; drawn by hash from all that hold a digit or an at sign.
 SAMPLE_DOCS = 2000
 PRECISION = 0.95
-#: Characters of context before a candidate.
-CONTEXT = 24
+#: Characters of context before a candidate, and kept on either side of a rewritten span.
+CONTEXT, AROUND = 24, 60
+#: Spans in a chunk of a growing array.
+CHUNK = 64
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base formats, written so that each start is tried once: a match starts at a run's start or where the last one ended.
@@ -40,7 +51,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATE = {
-    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++(?: ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++(?: ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\[dot\]|\(dot\)) ?)[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]| \. )[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ ./-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+|00|\()?[0-9][0-9() ./-]{7,22}[0-9](?![0-9A-Za-z])",
@@ -51,20 +62,43 @@ FEATURES = ["kind", "digits", "length", "groups", "plus", "checksum", "letter_be
 _IP = r"^(0*+(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])|0++)$"
 
 
+SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
+
+
+def grown(items: Column, kind: str, start: dict[str, Column], step) -> Column:
+    """Folds an array into another one. ``step(state, x)`` gives the new state and what is put out, or null.
+
+    What is put out goes to a chunk, and full chunks to a list of chunks, so that no step copies the whole.
+    """
+    none = F.lit(None).cast(kind)
+    last, full = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    zero = F.struct(full.alias("full"), last.alias("last"), *(v.alias(k) for k, v in start.items()))
+
+    def one(acc, x):
+        state, out = step({k: acc[k] for k in start}, x)
+        out = F.coalesce(out, none)
+        more = F.when(out.isNull(), acc["last"]).otherwise(F.concat(acc["last"], F.array(out)))
+        whole = F.size(acc["last"]) >= CHUNK
+        return F.struct(
+            F.when(whole, F.concat(acc["full"], F.array(acc["last"]))).otherwise(acc["full"]).alias("full"),
+            F.when(whole, F.when(out.isNull(), last).otherwise(F.array(out))).otherwise(more).alias("last"), *(state[k].alias(k) for k in start),
+        )
+
+    return F.aggregate(items, zero, one, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["last"]))))
+
+
 def found(text: Column, pattern: str, guard: str) -> Column:
-    """Matches as ``array<struct<s, e, m>>``: the pieces between matches give the places."""
+    """Matches as an array of SPAN, with the characters around them up to the next match: the pieces between matches give the places."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    kind = "array<struct<s:int,e:int,m:string>>"
-    empty = F.array().cast(kind)
+    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("h"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))).alias("n"))
 
-    def step(acc, g, h):
-        s = acc["at"] + F.length(g)
-        e = s + F.length(h)
-        return F.struct(F.when(h.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), h.alias("m"))))).alias("out"), F.coalesce(e, s).alias("at"))
+    def step(state, x):
+        s = state["at"] + F.length(x["g"])
+        e = s + F.length(x["h"])
+        span = F.struct(s.alias("s"), e.alias("e"), x["h"].alias("m"), F.right(x["g"], F.lit(AROUND)).alias("before"), F.left(x["n"], F.lit(AROUND)).alias("after"))
+        return {"at": F.coalesce(e, s)}, F.when(x["h"].isNotNull(), span)
 
-    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("h"))
-    walk = F.aggregate(pairs, F.struct(empty.alias("out"), F.lit(0).alias("at")), lambda acc, x: step(acc, x["g"], x["h"]), lambda acc: acc["out"])
-    return F.when(text.rlike(guard), walk).otherwise(empty)
+    return F.when(text.rlike(guard), grown(pairs, SPAN, {"at": F.lit(0)}, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def digits(m: Column) -> Column:
@@ -102,45 +136,125 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(found(text, p, guard.get(k, "[0-9]")), check(k)) for k, p in BASE.items()}
 
 
+CANDIDATE_SPAN = "struct<s:int,e:int,k:int,m:string,before:string,after:string>"
+SCORED = "struct<s:int,e:int,k:int,p:double>"
+
+
 def candidates(text: Column) -> Column:
-    """All proposals as ``array<struct<k, s, e, m>>``, ``k`` the kind's place in KINDS."""
+    """All proposals as an array of CANDIDATE_SPAN, ``k`` the kind's place in KINDS."""
     guard = {"email": r"@|\[at\]|\(at\)| at "}
-    named = lambda i: lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+    named = lambda i: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("k"), *(x[c].alias(c) for c in ("m", "before", "after")))
     each = [F.transform(found(text, p, guard.get(k, "[0-9]")), named(i)) for i, (k, p) in enumerate(CANDIDATE.items())]
     return F.concat(*each)
 
 
-def features(c: Column, text: Column) -> dict[str, Column]:
+def features(c: Column) -> dict[str, Column]:
     """Format and context of a candidate, as small integers."""
     m, d = c["m"], digits(c["m"])
     n = F.length(d)
-    before = F.lower(F.substring(text, F.greatest(c["s"] - CONTEXT, F.lit(0)) + 1, F.least(c["s"], F.lit(CONTEXT))))
+    before = F.lower(F.right(c["before"], F.lit(CONTEXT)))
     hint = reduce(lambda a, x: a.when((c["k"] == x[0]) & before.rlike(HINTS[x[1]]), 1), enumerate(KINDS), F.when(F.lit(False), 1)).otherwise(0)
-    letter = lambda s: s.rlike("^[A-Za-z]").cast("int")
     return {
         "kind": c["k"], "digits": F.least(n, F.lit(30)), "length": F.least(c["e"] - c["s"], F.lit(80)),
         "groups": F.least(F.size(F.split(m, "[^0-9]+")), F.lit(12)), "plus": m.startswith("+").cast("int"),
         "checksum": F.when(n.between(13, 19), luhn(d).cast("int")).otherwise(-1),
-        "letter_before": F.when(c["s"] > 0, letter(F.substring(text, c["s"], F.lit(1)))).otherwise(0), "letter_after": letter(F.substring(text, c["e"] + 1, F.lit(1))),
+        "letter_before": c["before"].rlike("[A-Za-z]$").cast("int"), "letter_after": F.coalesce(c["after"].rlike("^[A-Za-z]").cast("int"), F.lit(0)),
         "hint": hint, "marks": F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(12)),
         "octets": F.when(c["k"] == 1, _octets(m).cast("int")).otherwise(0), "distinct": F.size(F.array_distinct(F.split(d, ""))),
     }
 
 
-def _overlaps(c: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
+def apart(spans: Column, base: Column, kind: str) -> Column:
+    """Spans that overlap none of the base ones: a sweep in order of starts, with the furthest end of a base span so far, and one backwards, with the least start."""
+    own = f"struct<s:int,o:int,e:int,x:{kind}>"
+    both = F.concat(
+        F.transform(base, lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("o"), b["e"].alias("e"), F.lit(None).cast(kind).alias("x"))),
+        F.transform(spans, lambda c: F.struct(c["s"].alias("s"), F.lit(1).alias("o"), c["e"].alias("e"), c.alias("x"))),
+    ).cast(f"array<{own}>")
+
+    def forward(state, x):
+        is_base = x["o"] == 0
+        return {"reach": F.when(is_base, F.greatest(state["reach"], x["e"])).otherwise(state["reach"])}, F.when(is_base | (state["reach"] <= x["s"]), x)
+
+    def backward(state, x):
+        is_base = x["o"] == 0
+        return {"low": F.when(is_base, F.least(state["low"], x["s"])).otherwise(state["low"])}, F.when(~is_base & (state["low"] >= x["e"]), x["x"])
+
+    kept = grown(F.array_sort(both), own, {"reach": F.lit(0)}, forward)
+    return F.when(F.size(spans) == 0, spans).when(F.size(base) == 0, spans).otherwise(grown(F.reverse(kept), kind, {"low": F.lit(2**31 - 1)}, backward))
+
+
+def settled(spans: Column) -> Column:
+    """Of SCORED spans, in order of starts, the better of each two that overlap; the one held is compared with the next."""
+    none = F.lit(None).cast(SCORED)
+    better = lambda x, y: (x["p"] > y["p"]) | ((x["p"] == y["p"]) & (F.struct(x["s"], x["k"], x["e"]) < F.struct(y["s"], y["k"], y["e"])))
+
+    def step(state, x):
+        held = state["held"]
+        clash = held.isNotNull() & (x["s"] < held["e"]) & x["p"].isNotNull()
+        return {"held": F.when(clash & better(held, x), held).otherwise(x)}, F.when(held.isNotNull() & ~clash, held)
+
+    # one more item, after all others, lets the last one go
+    end = F.array(F.struct(F.lit(2**31 - 1).alias("s"), F.lit(2**31 - 1).alias("e"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("p")).cast(SCORED))
+    return F.when(F.size(spans) < 2, spans).otherwise(grown(F.concat(F.array_sort(spans), end), SCORED, {"held": none}, step))
+
+
+#: Formats that a base span is rewritten in, by kind, as (pattern, replacement) steps; the last item of each kind says whether
+#: the result is still personal data.
+REWRITES = {
+    "email": [
+        ([(r"\.(?=[^@]*$)", " [dot] "), ("@", " [at] ")], True), ([(r"\.(?=[^@]*$)", "(dot)"), ("@", "(at)")], True), ([(r"\.(?=[^@]*$)", " dot "), ("@", " at ")], True),
+        ([("@", " @ ")], True),
+    ],
+    "ip": [([(r"\.", "[.]")], True), ([(r"\.", " . ")], True), ([(r"\.", "[.]"), (r"^", "9")], False), ([(r"\.", " . "), (r"$", "77")], False)],
+    "card": [
+        ([("[^0-9]", ""), (r"([0-9]{4})(?=[0-9])", "$1.")], True), ([("[^0-9]", ""), (r"([0-9]{4})(?=[0-9])", "$1/")], True), ([("[^0-9]", ""), (r"([0-9]{4})(?=[0-9])", "$1  ")], True),
+        ([("[^0-9]", ""), (r"([0-9]{4})(?=[0-9])", "$1."), (r"^([0-9])([0-9])", "$1$1")], False), ([("[^0-9]", ""), (r"([0-9]{4})(?=[0-9])", "$1/"), (r"([0-9])([0-9])$", "$1$1")], False),
+    ],
+    "phone": [
+        ([(r"^\+", "00")], True), ([(r"^\+[0-9]{1,3}[ .-]?(?=\()", "")], True), ([(r"^\+", ""), (r"[() -]+", ".")], True),
+        ([(r"[^0-9]", ""), (r"$", "00000000")], False), ([(r"[^0-9]", ""), (r"^.*(.{7})$", "$1")], False),
+    ],
+}
 
 
-def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, precision: float = PRECISION) -> gbt.Boosted:
-    """Trees on candidates of at most ``rows`` documents, labelled by overlap with a base span of their kind."""
+def rewritten(kind: str, span: Column) -> Column:
+    """Every format of a span, ``array<struct<m, real>>``; one that holds a base span itself, or that changed nothing, does not count."""
+    out = []
+    for steps, real in REWRITES[kind]:
+        m = reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, span)
+        out.append(F.struct(m.alias("m"), (F.lit(real) if real else F.lit(False)).alias("real")))
+    seen = lambda m: reduce(lambda a, spans: a | (F.size(spans) > 0), base_spans(m).values(), F.lit(False))
+    # a false one may have come out true
+    false = lambda m: ~(_octets(m) if kind == "ip" else valid(kind, m))
+    return F.filter(F.array(*out), lambda x: (x["m"] != span) & ~seen(x["m"]) & (x["real"] | false(x["m"])))
+
+
+def examples(sample: DataFrame) -> DataFrame:
+    """Labelled candidates ``(c, label, held)`` of a sample of texts ``t``: rewritten base spans in their places, and the texts' own candidates."""
     t = F.col("t")
-    sample = bounded_sample(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")), "t", rows)[0]
     base = base_spans(t)
-    rows_ = sample.select("t", candidates(t).alias("c"), *(base[k].alias(f"b{i}") for i, k in enumerate(KINDS)))
-    rows_ = rows_.select("t", F.explode("c").alias("c"), *(f"b{i}" for i in range(len(KINDS))))
-    c = F.col("c")
-    label = reduce(lambda a, i: a.when(c["k"] == i, _overlaps(c, F.col(f"b{i}"))), range(len(KINDS)), F.when(F.lit(False), False)).otherwise(False)
-    rows_ = rows_.select(label.alias("label"), (F.pmod(F.xxhash64("c"), F.lit(4)) == 0).cast("int").alias("_held"), *(v.alias(k) for k, v in features(c, t).items()))
+    held = (F.pmod(F.xxhash64("t"), F.lit(4)) == 0).cast("int").alias("held")
+    rows = sample.select("t", held, *(base[k].alias(f"b{i}") for i, k in enumerate(KINDS)))
+    planted = []
+    for i, k in enumerate(KINDS):
+        one = rows.select("held", F.explode(f"b{i}").alias("b"))
+        one = one.select("held", "b", F.explode(rewritten(k, F.col("b")["m"])).alias("r"))
+        text = F.concat(F.col("b")["before"], F.col("r")["m"], F.coalesce(F.col("b")["after"], F.lit("")))
+        one = one.select("held", "r", F.length(F.col("b")["before"]).alias("s"), text.alias("t")).select("held", "r", "s", F.explode(candidates(t)).alias("c"))
+        c, e = F.col("c"), F.col("s") + F.length(F.col("r")["m"])
+        # what else stands around the span says nothing; a part of it is no span of its own
+        one = one.where((c["s"] < e) & (c["e"] > F.col("s")))
+        planted.append(one.select("c", (F.col("r")["real"] & (c["k"] == i) & (c["s"] == F.col("s")) & (c["e"] == e)).alias("label"), "held"))
+    every = F.concat(*(F.transform(F.col(f"b{i}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for i in range(len(KINDS))))
+    own = rows.select("held", F.explode(apart(candidates(t), every, CANDIDATE_SPAN)).alias("c")).select("c", F.lit(False).alias("label"), "held")
+    return reduce(DataFrame.unionByName, planted, own)
+
+
+def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, precision: float = PRECISION) -> gbt.Boosted:
+    """Trees on examples of at most ``rows`` documents; documents held out of the fit set the thresholds."""
+    sample = bounded_sample(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")), "t", rows)[0]
+    rows_ = examples(sample).select("label", F.col("held").alias("_held"), *(v.alias(k) for k, v in features(F.col("c")).items()))
     x, pos, neg = gbt.counts(rows_, ["_held", *FEATURES], "label")
     held = x[:, 0] == 1
     model = gbt.fit(x[~held, 1:], pos[~held], neg[~held], FEATURES)
@@ -150,14 +264,15 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, precision:
     return model
 
 
-def added(cands: Column, base: Column, text: Column, model: gbt.Boosted) -> Column:
-    """Candidates over their kind's threshold that overlap neither a base span nor a better candidate."""
+def added(cands: Column, base: Column, model: gbt.Boosted) -> Column:
+    """Candidates over their kind's threshold that overlap no base span, of overlapping ones the better, as SCORED."""
     limits = F.array(*(F.lit(float(model.thresholds.get(i, np.inf))) for i in range(len(KINDS))))
-    free = F.filter(cands, lambda c: ~_overlaps(c, base))
-    scored = F.transform(free, lambda c: F.struct(model.column(features(c, text)).alias("p"), c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e")))
+    # features are made once per candidate, then all trees read them
+    made = F.transform(apart(cands, base, CANDIDATE_SPAN), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), F.struct(*(v.alias(n) for n, v in features(c).items())).alias("f")))
+    score = lambda f: model.column({n: f[n] for n in FEATURES})
+    scored = F.transform(made, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), score(c["f"]).alias("p")))
     over = F.filter(scored, lambda c: c["p"] >= F.element_at(limits, c["k"] + 1))
-    rank = lambda a: F.struct(-a["p"], a["s"], a["k"], a["e"])
-    return F.filter(over, lambda c: ~F.exists(over, lambda o: (o["s"] < c["e"]) & (o["e"] > c["s"]) & (rank(o) < rank(c))))
+    return settled(over.cast(f"array<{SCORED}>"))
 
 
 def detect(docs: DataFrame, model: gbt.Boosted, text: str = "text", prefix: str = "pii_") -> DataFrame:
@@ -168,23 +283,28 @@ def detect(docs: DataFrame, model: gbt.Boosted, text: str = "text", prefix: str
     named = lambda i: lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
     bare = [F.transform(base[k], named(i)) for i, k in enumerate(KINDS)]
     out = docs.withColumn(f"{prefix}base", F.concat(*bare)).withColumn(f"{prefix}c", candidates(t))
-    more = F.transform(added(p("c"), p("base"), t, model), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    more = F.transform(added(p("c"), p("base"), model), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     more = F.when(F.size(p("c")) > 0, more).otherwise(F.array().cast("array<struct<k:int,s:int,e:int>>"))
     return out.withColumn(f"{prefix}spans", F.array_sort(F.concat(p("base"), more))).drop(f"{prefix}c")
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span, overlapping ones together, replaced by its kind in brackets."""
+    """The text with each span, overlapping ones together, replaced by the kind of the first in brackets.
+
+    Characters are laid out once, so that no place is looked up from the text's start.
+    """
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    chars = F.split(text, "")
+    piece = lambda a, z: F.array_join(F.slice(chars, a + 1, F.greatest(z - a, F.lit(0))), "")
 
-    def step(acc, x):
-        new = x["s"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.element_at(names, x["k"] + 1))
-        return F.struct(F.concat(acc["out"], F.when(new, piece).otherwise("")).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+    def step(state, x):
+        new = x["s"] >= state["at"]
+        return {"at": F.greatest(state["at"], x["e"])}, F.when(new, F.concat(piece(state["at"], x["s"]), F.element_at(names, x["k"] + 1)))
 
-    walk = F.aggregate(order, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, walk).otherwise(text)
+    end = F.array(F.struct(F.length(text).alias("s"), F.length(text).alias("e"), F.lit(len(KINDS)).alias("k")))
+    names = F.concat(names, F.array(F.lit("")))
+    return F.when(F.size(spans) > 0, F.array_join(grown(F.concat(order, end), "string", {"at": F.lit(0)}, step), "")).otherwise(text)
 
 
 def digest(found_: DataFrame, prefix: str = "pii_") -> DataFrame:
