@@ -12,9 +12,9 @@ false checksum, octet or length, and all candidates of the documents themselves
 negatives. Per kind, the threshold is the least score at which documents held out of the fit keep the target
 precision. Chosen candidates that overlap no base span are added, of overlapping ones the better.
 
-Only built-in column functions are used. Offsets are code points, ends exclusive. Work grows in proportion to
-a text and its matches (times a logarithm): places come from the pieces between matches, arrays grow by chunks,
-and overlaps are found by sweeps over sorted spans.
+Only built-in column functions are used. Offsets are code points, ends exclusive. Places come from the lengths of
+the pieces between matches and overlaps from sorted spans, by running folds over chunks, so that a text of very
+many matches costs little more than in proportion; only the choice among overlapping added spans is quadratic in these.
 
 Cases: a null or empty text has no spans; very long runs of digits or address characters are read once
 (possessive patterns, starts only at a run's start); a text of very many matches is handled like any other;
@@ -68,7 +68,7 @@ SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
 def grown(items: Column, kind: str, start: dict[str, Column], step) -> Column:
     """Folds an array into another one. ``step(state, x)`` gives the new state and what is put out, or null.
 
-    What is put out goes to a chunk, and full chunks to a list of chunks, so that no step copies the whole.
+    What is put out goes to a chunk, and full chunks to a list of chunks. A step copies what it holds, so this is for short arrays.
     """
     none = F.lit(None).cast(kind)
     last, full = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
@@ -87,18 +87,47 @@ def grown(items: Column, kind: str, start: dict[str, Column], step) -> Column:
     return F.aggregate(items, zero, one, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["last"]))))
 
 
+def let(x: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is used."""
+    return F.transform(F.array(x), body)[0]
+
+
+def running(items: Column, fold, zero: Column) -> Column:
+    """The fold of all items before each one: folds of chunks first, then inside each chunk, so that no step copies an array."""
+
+    def of(a):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / CHUNK).cast("int")), lambda j: F.slice(a, j * CHUNK + 1, F.lit(CHUNK)))
+        inside = lambda c, start: F.transform(c, lambda x, i: F.aggregate(F.slice(c, F.lit(1), i), start, fold))
+        each = lambda cs: let(
+            F.transform(cs, lambda c: F.aggregate(c, zero, fold)), lambda sums: F.flatten(F.transform(cs, lambda c, j: let(F.aggregate(F.slice(sums, F.lit(1), j), zero, fold), lambda start: inside(c, start))))
+        )
+        return let(chunks, each)
+
+    return let(items, of)
+
+
 def found(text: Column, pattern: str, guard: str) -> Column:
     """Matches as an array of SPAN, with the characters around them up to the next match: the pieces between matches give the places."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("h"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))).alias("n"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(state, x):
-        s = state["at"] + F.length(x["g"])
-        e = s + F.length(x["h"])
-        span = F.struct(s.alias("s"), e.alias("e"), x["h"].alias("m"), F.right(x["g"], F.lit(AROUND)).alias("before"), F.left(x["n"], F.lit(AROUND)).alias("after"))
-        return {"at": F.coalesce(e, s)}, F.when(x["h"].isNotNull(), span)
+    def spans(gaps):
+        pairs = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("h"), F.slice(gaps, 2, F.size(gaps)).alias("n"))
+
+        def placed(p):
+            at = running(F.transform(p, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["h"]), F.lit(0))), lambda a, x: a + x, F.lit(0))
+
+            def one(x):
+                s = x["at"] + F.length(x["p"]["g"])
+                return F.struct(
+                    s.alias("s"), (s + F.length(x["p"]["h"])).alias("e"), x["p"]["h"].alias("m"), F.right(x["p"]["g"], F.lit(AROUND)).alias("before"),
+                    F.left(x["p"]["n"], F.lit(AROUND)).alias("after"),
+                )
+
+            return F.filter(F.transform(F.arrays_zip(p.alias("p"), at.alias("at")), one), lambda x: x["m"].isNotNull())
 
-    return F.when(text.rlike(guard), grown(pairs, SPAN, {"at": F.lit(0)}, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return F.when(F.size(gaps) > 1, let(pairs, placed).cast(f"array<{SPAN}>")).otherwise(none)
+
+    return F.when(text.rlike(guard), let(F.split(text, pattern, -1), spans)).otherwise(none)
 
 
 def digits(m: Column) -> Column:
@@ -165,27 +194,28 @@ def features(c: Column) -> dict[str, Column]:
 
 
 def apart(spans: Column, base: Column, kind: str) -> Column:
-    """Spans that overlap none of the base ones: a sweep in order of starts, with the furthest end of a base span so far, and one backwards, with the least start."""
+    """Spans that overlap none of the base ones: in order of starts, the furthest end of a base span before and the least start of one after say so."""
     own = f"struct<s:int,o:int,e:int,x:{kind}>"
     both = F.concat(
         F.transform(base, lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("o"), b["e"].alias("e"), F.lit(None).cast(kind).alias("x"))),
         F.transform(spans, lambda c: F.struct(c["s"].alias("s"), F.lit(1).alias("o"), c["e"].alias("e"), c.alias("x"))),
     ).cast(f"array<{own}>")
+    far = F.lit(2**31 - 1)
 
-    def forward(state, x):
-        is_base = x["o"] == 0
-        return {"reach": F.when(is_base, F.greatest(state["reach"], x["e"])).otherwise(state["reach"])}, F.when(is_base | (state["reach"] <= x["s"]), x)
-
-    def backward(state, x):
-        is_base = x["o"] == 0
-        return {"low": F.when(is_base, F.least(state["low"], x["s"])).otherwise(state["low"])}, F.when(~is_base & (state["low"] >= x["e"]), x["x"])
+    def swept(a):
+        reach = running(F.transform(a, lambda x: F.when(x["o"] == 0, x["e"]).otherwise(0)), lambda m, x: F.greatest(m, x), F.lit(0))
+        low = F.reverse(running(F.reverse(F.transform(a, lambda x: F.when(x["o"] == 0, x["s"]).otherwise(far))), lambda m, x: F.least(m, x), far))
+        free = F.filter(F.arrays_zip(a.alias("a"), reach.alias("r"), low.alias("l")), lambda z: (z["a"]["o"] == 1) & (z["r"] <= z["a"]["s"]) & (z["l"] >= z["a"]["e"]))
+        return F.transform(free, lambda z: z["a"]["x"]).cast(f"array<{kind}>")
 
-    kept = grown(F.array_sort(both), own, {"reach": F.lit(0)}, forward)
-    return F.when(F.size(spans) == 0, spans).when(F.size(base) == 0, spans).otherwise(grown(F.reverse(kept), kind, {"low": F.lit(2**31 - 1)}, backward))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(let(F.array_sort(both), swept))
 
 
 def settled(spans: Column) -> Column:
-    """Of SCORED spans, in order of starts, the better of each two that overlap; the one held is compared with the next."""
+    """Of SCORED spans, in order of starts, the better of each two that overlap; the one held is compared with the next.
+
+    Work grows with the square of the spans that the trees choose in one text (not of its matches).
+    """
     none = F.lit(None).cast(SCORED)
     better = lambda x, y: (x["p"] > y["p"]) | ((x["p"] == y["p"]) & (F.struct(x["s"], x["k"], x["e"]) < F.struct(y["s"], y["k"], y["e"])))
 
@@ -288,23 +318,36 @@ def detect(docs: DataFrame, model: gbt.Boosted, text: str = "text", prefix: str
     return out.withColumn(f"{prefix}spans", F.array_sort(F.concat(p("base"), more))).drop(f"{prefix}c")
 
 
+#: Characters in a block of a text that is redacted.
+BLOCK = 4096
+
+
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span, overlapping ones together, replaced by the kind of the first in brackets.
 
-    Characters are laid out once, so that no place is looked up from the text's start.
+    The text is cut into blocks once, so that no place is looked up from the text's start.
     """
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    chars = F.split(text, "")
-    piece = lambda a, z: F.array_join(F.slice(chars, a + 1, F.greatest(z - a, F.lit(0))), "")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
+    end = F.array(F.struct(F.length(text).alias("s"), F.length(text).alias("e"), F.lit(len(KINDS)).alias("k")))
 
-    def step(state, x):
-        new = x["s"] >= state["at"]
-        return {"at": F.greatest(state["at"], x["e"])}, F.when(new, F.concat(piece(state["at"], x["s"]), F.element_at(names, x["k"] + 1)))
+    def named(k: Column) -> Column:
+        return reduce(lambda a, i: a.when(k == i, f"[{KINDS[i].upper()}]"), range(1, len(KINDS)), F.when(k == 0, f"[{KINDS[0].upper()}]")).otherwise("")
 
-    end = F.array(F.struct(F.length(text).alias("s"), F.length(text).alias("e"), F.lit(len(KINDS)).alias("k")))
-    names = F.concat(names, F.array(F.lit("")))
-    return F.when(F.size(spans) > 0, F.array_join(grown(F.concat(order, end), "string", {"at": F.lit(0)}, step), "")).otherwise(text)
+    def piece(held, a, z):
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(z / BLOCK).cast("int")
+        block = lambda k: F.element_at(held, k + 1)
+        one = F.substring(block(i), a - i * BLOCK + 1, z - a)
+        more = F.concat(F.substring(block(i), a - i * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(held, i + 2, j - i - 1), ""), F.substring(block(j), F.lit(1), z - j * BLOCK))
+        return F.when(z <= a, "").when(i == j, one).otherwise(more)
+
+    def whole(items):
+        at = running(F.transform(items, lambda x: x["e"]), lambda m, x: F.greatest(m, x), F.lit(0))
+        zipped = F.arrays_zip(items.alias("x"), at.alias("a"))
+        new = lambda z: F.when(z["x"]["s"] >= z["a"], F.lit(True)).otherwise(False)
+        return let(blocks, lambda held: F.array_join(F.transform(zipped, lambda z: F.when(new(z), F.concat(piece(held, z["a"], z["x"]["s"]), named(z["x"]["k"]))).otherwise("")), ""))
+
+    return F.when(F.size(spans) > 0, let(F.concat(order, end), whole)).otherwise(text)
 
 
 def digest(found_: DataFrame, prefix: str = "pii_") -> DataFrame:
