@@ -87,6 +87,27 @@ def crc32c(data: bytes, crc: int = 0, table: list[int] = _table()) -> int:
     return crc ^ 0xFFFFFFFF
 
 
+def crc32c_combine(a: int, b: int, n: int, table: list[int] = _table()) -> int:
+    """CRC-32C of two strings back to back, from their own and the second one's length: ``a`` is carried over ``n`` zero bytes by squaring."""
+    # the effect of a zero byte on each bit, then of 2, 4, 8, ... of them
+    step = [table[1 << i & 0xFF] ^ (1 << i) >> 8 for i in range(32)]
+
+    def apply(m: list[int], x: int) -> int:
+        out, i = 0, 0
+        while x:
+            if x & 1:
+                out ^= m[i]
+            x, i = x >> 1, i + 1
+        return out
+
+    while n:
+        if n & 1:
+            a = apply(step, a)
+        step = [apply(step, x) for x in step]
+        n >>= 1
+    return a ^ b
+
+
 def crc32c_udf():
     """Column form, Arrow-batched; Spark's own crc32 is another polynomial."""
     import pandas as pd

@@ -58,13 +58,13 @@ def keys(runs: DataFrame) -> DataFrame:
     return runs.agg(F.countDistinct("key").alias("keys"))
 
 
-def dictionary(runs: DataFrame) -> DataFrame:
-    """The dictionary table: what counting queries read instead of values."""
+def dictionary(runs: DataFrame, *by: str) -> DataFrame:
+    """The dictionary table: what counting queries read instead of values. ``by`` keeps further columns that a key has one value of."""
     b = width("value")
-    return runs.groupBy("key").agg(
+    return runs.groupBy("key", *by).agg(
         F.count("*").alias("n"),
         F.when((F.min(b) == F.max(b)) & (F.min(b) > 0), F.sum(b)).otherwise(F.sum(stored_length(b))).cast("bigint").alias("stored_bytes"),
-        F.when(F.min(b) == F.max(b), F.min(b)).alias("width"),
+        F.when(F.min(b) == F.max(b), F.min(b)).alias("width"), F.coalesce(F.sum(b), F.lit(0)).cast("bigint").alias("value_bytes"),
     )
 
 

@@ -46,34 +46,46 @@ def seek_rank(runs: DataFrame, key) -> DataFrame:
     return runs.where(F.col("key") < F.lit(key)).agg(F.countDistinct("key").alias("rank"))
 
 
-def first_keys(runs: DataFrame, limit: int, start=None) -> DataFrame:
-    """The first ``limit`` distinct keys from ``start``: distinct, then a top-k that each task cuts first."""
+#: Keys up to which a list of them is sent to every task; longer lists are joined.
+BROADCAST_KEYS = 100_000
+
+
+def first_keys(runs: DataFrame, limit: int, start=None, skip: int = 0) -> DataFrame:
+    """``limit`` distinct keys from ``start``, after ``skip`` of them: distinct, then a top-k that each task cuts first."""
     if start is not None:
         runs = runs.where(F.col("key") >= F.lit(start))
-    return runs.select("key").distinct().orderBy("key").limit(limit)
+    keys = runs.select("key").distinct().orderBy("key")
+    return (keys.offset(skip) if skip else keys).limit(limit)
+
+
+def among(runs: DataFrame, keys: DataFrame, limit: int, how: str = "left_semi") -> DataFrame:
+    """Runs of a limited list of keys; the list is broadcast only where its limit is small."""
+    return runs.join(F.broadcast(keys) if limit <= BROADCAST_KEYS else keys, "key", how)
 
 
 def key_at(runs: DataFrame, rank: int) -> DataFrame:
-    """The key at an ordinal, empty past the end."""
-    return first_keys(runs, rank + 1).orderBy(F.desc("key")).limit(1).crossJoin(
-        first_keys(runs, rank + 1).agg(F.count("*").alias("_n"))
-    ).where(F.col("_n") == rank + 1).select("key", F.lit(rank).cast("bigint").alias("rank"))
+    """The key at an ordinal, empty past the end. One pass; for deep ordinals of a store, ``Store.record_at`` orders one range only."""
+    return first_keys(runs, 1, skip=rank).select("key", F.lit(rank).cast("bigint").alias("rank"))
+
+
+def record_at(dictionary: DataFrame, rank: int) -> DataFrame:
+    """The record at an ordinal of a dictionary: its key, number of values and sizes, empty past the end."""
+    keys = dictionary.orderBy("key")
+    return (keys.offset(rank) if rank else keys).limit(1)
 
 
 def values_at(runs: DataFrame, rank: int) -> DataFrame:
-    return runs.join(F.broadcast(key_at(runs, rank)), "key")
+    return among(runs, key_at(runs, rank), 1, "inner")
 
 
 def scan(runs: DataFrame, limit: int, start=None) -> DataFrame:
     """Values of the first ``limit`` keys from ``start`` in key order. The limited keys come first, so no rank over all rows is made."""
-    return runs.join(F.broadcast(first_keys(runs, limit, start)), "key", "left_semi")
+    return among(runs, first_keys(runs, limit, start), limit)
 
 
 def scan_at(runs: DataFrame, rank: int, limit: int) -> DataFrame:
     """As scan, from an ordinal; past the end gives nothing."""
-    head = first_keys(runs, rank + limit)
-    wanted = head.exceptAll(first_keys(runs, rank)) if rank else head
-    return runs.join(F.broadcast(wanted), "key", "left_semi")
+    return among(runs, first_keys(runs, limit, skip=rank), limit)
 
 
 def scan_visited(live: DataFrame, touched: DataFrame, limit: int, start=None) -> DataFrame:
@@ -83,7 +95,7 @@ def scan_visited(live: DataFrame, touched: DataFrame, limit: int, start=None) ->
     """
     visited = live.select("key").unionByName(touched.select("key"))
     keys = first_keys(visited, limit, start)
-    counts = live.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    counts = among(live, keys, limit).groupBy("key").agg(F.count("*").alias("n"))
     return keys.join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -37,8 +36,12 @@ def query(sql: str | None = None):
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="multirun-")
+    """A fresh folder under the cluster's shared checkpoint folder; a local one only where all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="multirun-")
     return f"{base}/multirun/{name}-{uuid.uuid4().hex[:10]}"
 
 
@@ -121,17 +124,10 @@ def q_snapshot_read(spark, d):
     return live(spark, d, upto=SNAP).select("key", "seq", "value")
 
 
-@query(
-    f"WITH {LIVE.replace('UNION ALL SELECT user_id', 'UNION ALL SELECT o_custkey, 100000000 + o_orderkey, 0, CASE WHEN o_orderkey % 7 = 0 THEN $$D$$ ELSE $$A$$ END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END FROM orders WHERE o_custkey <= 100 UNION ALL SELECT user_id', 1)} SELECT key, seq, value FROM live"
-)
-def q_dirty_read(spark, d):
-    return live(spark, d, staged=staged_orders(table(spark, d, "orders").where("o_custkey <= 100"))).select("key", "seq", "value")
-
-
 @query(
     f"WITH {LIVE.replace('UNION ALL SELECT user_id', 'UNION ALL SELECT o_custkey, 100000000 + o_orderkey, 0, CASE WHEN o_orderkey % 7 = 0 THEN $$D$$ ELSE $$A$$ END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END FROM orders UNION ALL SELECT user_id', 1)} SELECT key, seq, value FROM live"
 )
-def q_dirty_read_all(spark, d):
+def q_dirty_read(spark, d):
     return live(spark, d, staged=staged_orders(table(spark, d, "orders"))).select("key", "seq", "value")
 
 
@@ -239,31 +235,20 @@ def q_keys_distinct(spark, d):
     return A.keys(order_runs(spark, d))
 
 
-@query(f"WITH {PART}, k AS (SELECT min(key) AS key FROM runs) SELECT CASE WHEN count(*) = 0 THEN 0 WHEN min(strlen(value)) = 8 AND max(strlen(value)) = 8 THEN count(*) END AS n_fixed FROM runs WHERE key = 'absent'")
-def q_count_fixed(spark, d):
-    return A.count_fixed(part_runs(spark, d), "absent", 8)
-
-
 #: Types with sizes, all of one width, and brands with names of several.
 WIDTHS = "runs AS (SELECT p_brand AS key, p_name AS value FROM part UNION ALL SELECT p_type, lpad(CAST(p_size AS VARCHAR),2,'0') FROM part)"
 
 
 @query(f"WITH {WIDTHS} SELECT key, CASE WHEN min(strlen(value)) = 2 AND max(strlen(value)) = 2 THEN count(*) END AS n_fixed FROM runs GROUP BY key")
-def q_count_fixed_all(spark, d):
+def q_count_fixed(spark, d):
     kinds = table(spark, d, "part").select(F.col("p_type").alias("key"), F.lpad(F.col("p_size").cast("string"), 2, "0").alias("value"))
     return A.scan_counts_fixed(part_runs(spark, d).select("key", "value").unionByName(kinds), 2)
 
 
 @query("SELECT o_orderpriority AS key, CASE WHEN min(strlen(o_orderstatus)) = 1 AND max(strlen(o_orderstatus)) = 1 THEN count(*) END AS n_fixed FROM orders GROUP BY 1")
-def q_scan_counts_fixed_all(spark, d):
-    runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("value"))
-    return A.scan_counts_fixed(runs, 1)
-
-
-@query("SELECT o_orderpriority AS key, CASE WHEN min(strlen(o_orderstatus)) = 1 AND max(strlen(o_orderstatus)) = 1 THEN count(*) END AS n_fixed FROM orders GROUP BY 1 ORDER BY 1 LIMIT 3")
 def q_scan_counts_fixed(spark, d):
     runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("value"))
-    return A.scan_counts_fixed(runs, 1, limit=3)
+    return A.scan_counts_fixed(runs, 1)
 
 
 VARINT = "(strlen(value) + CASE WHEN strlen(value) < 128 THEN 1 WHEN strlen(value) < 16384 THEN 2 WHEN strlen(value) < 2097152 THEN 3 WHEN strlen(value) < 268435456 THEN 4 ELSE 5 END)"
@@ -285,11 +270,19 @@ def q_payload_bytes(spark, d):
     return A.payload_bytes(part_runs(spark, d))
 
 
-@query(f"WITH {PART} SELECT key, count(*) AS n, {STORED} AS stored_bytes, CAST(CASE WHEN min(strlen(value)) = max(strlen(value)) THEN min(strlen(value)) END AS INTEGER) AS width FROM runs GROUP BY key")
+@query(f"WITH {PART} SELECT key, count(*) AS n, {STORED} AS stored_bytes, CAST(CASE WHEN min(strlen(value)) = max(strlen(value)) THEN min(strlen(value)) END AS INTEGER) AS width, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes FROM runs GROUP BY key")
 def q_dictionary(spark, d):
     return A.dictionary(part_runs(spark, d))
 
 
+@query(
+    f"WITH {PART} SELECT key, count(*) AS n, {STORED} AS stored_bytes, CAST(CASE WHEN min(strlen(value)) = max(strlen(value)) THEN min(strlen(value)) END AS INTEGER) AS width, "
+    "CAST(sum(strlen(value)) AS BIGINT) AS value_bytes FROM runs GROUP BY key ORDER BY key LIMIT 1 OFFSET 7"
+)
+def q_record_at_rank(spark, d):
+    return R.record_at(A.dictionary(part_runs(spark, d)), 7)
+
+
 @query("SELECT user_id AS key, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
 def q_top_n_panel(spark, d):
     runs = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("key"))
@@ -562,6 +555,34 @@ def q_store_compacted(spark, d):
     return again.live().groupBy(F.decode("key", "UTF-8").cast("bigint").alias("key")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {LIVE} SELECT key, count(*) AS n FROM live GROUP BY key")
+def q_store_incremental(spark, d):
+    """Compaction by turns under a byte cap, twice: the second touches the ranges that new commits touch and leaves the others' files."""
+    log = event_log(spark, d).select(
+        F.encode(digits16(F.col("key")), "UTF-8").alias("key"), "seq", (F.col("seq") * 2 + F.col("idx")).cast("int").alias("idx"), "op", F.encode("value", "UTF-8").alias("value")
+    )
+    store = Store.create(spark, work_dir(spark, "store"))
+    store.commit_frame(log.where("seq < 6000"))
+    store.flush(ranges=8)
+    store.commit_frame(log.where("seq >= 6000"))
+    store.flush(cap=1 << 16)
+    return Store.open(spark, store.root).live().groupBy(F.decode("key", "UTF-8").cast("bigint").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS key, count(*) AS n, CAST(sum(strlen(o_orderpriority)) AS BIGINT) AS value_bytes FROM orders GROUP BY 1")
+def q_store_promoted(spark, d):
+    """Pieces that meet no other become partitions by name, ordered ingest goes straight into one, and counts come from the dictionary."""
+    o = table(spark, d, "orders").select(
+        F.encode(digits16(F.col("o_custkey")), "UTF-8").alias("key"), F.col("o_orderkey").cast("int").alias("idx"), F.lit("A").alias("op"), F.encode("o_orderpriority", "UTF-8").alias("value"), "o_custkey"
+    )
+    store = Store.create(spark, work_dir(spark, "store"))
+    store.commit_frame(o.where("o_custkey < 500"))
+    store.seal()
+    store.flush()
+    store.write_ordered(o.where("o_custkey >= 500"))
+    return store.dictionary().select(F.decode("key", "UTF-8").cast("bigint").alias("key"), "n", "value_bytes")
+
+
 @query(f"WITH {LIVE} SELECT key, count(*) AS n FROM live GROUP BY key")
 def q_stream_live_state(spark, d):
     """The event log as a stream, committed in micro-batches, then resolved."""
@@ -576,8 +597,3 @@ def q_stream_live_state(spark, d):
     store = Store.create(spark, f"{root}/store")
     stream_live.ingest(log, store, f"{root}/checkpoint").awaitTermination()
     return store.live().groupBy(F.decode("key", "UTF-8").cast("bigint").alias("key")).agg(F.count("*").alias("n"))
-
-
-@functools.cache
-def names() -> tuple[str, ...]:
-    return tuple(QUERIES)

@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from multirun.sources.store import Store
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None):
-    """Commits each micro-batch as one store commit.
+def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, compact_every: int | None = None, cap: int | None = None):
+    """Commits each micro-batch as one store commit, and compacts what they touched after every ``compact_every`` of them, in turns of ``cap`` bytes.
 
     The commit's number follows from the batch's, so a batch replayed after a failure is found in the
     manifest and not applied twice.
@@ -22,6 +22,8 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | Non
     def one(batch: DataFrame, n: int) -> None:
         if not batch.isEmpty():
             store.commit_frame(batch, base + n + 1)
+            if compact_every and len(store.m.pieces) >= compact_every:
+                store.flush(cap=cap)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
