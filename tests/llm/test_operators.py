@@ -151,7 +151,12 @@ def test_personal_data_in_texts_of_many_matches(spark):
     for i, t in ((1, text), (2, "1.2.3.4 " * 20_000)):
         base = brute.base_spans(t)
         assert got[i][0] == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(got[i][1].split(",")) and len(base) >= 15_000
-    assert got[2][2] == "[IP] " * 20_000 and not brute.base_spans(got[1][2])
+        # a number that a failing match took in is no base span, whatever stands there after redaction
+        plain, at = [], 0
+        for s, e, kind in sorted((int(s), int(e), kind) for kind, s, e in (b.split(":") for b in base)):
+            plain += [t[at:s], f"[{kind.upper()}]"]
+            at = e
+        assert got[i][2] == "".join([*plain, t[at:]])
 
 
 def test_sweeps_against_brute_force(spark):
