@@ -88,7 +88,8 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = SAMPLE_ROWS) -> Model:
     """Counts trigrams on at most ``rows`` labelled rows, drawn by the hash of their text from the whole table.
 
-    Texts are counted in a task; the driver gets one array of counts per task and language.
+    Texts are counted in tasks and the counts summed before they go to the driver, which gets a row per language and bucket
+    at most, however many tasks there are.
     """
     small_batches(labelled.sparkSession)
     pick = labelled.where(F.col(label).isin(*languages) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
@@ -99,13 +100,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages:
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 own[languages.index(lang)] += np.bincount(trigrams(np.frombuffer(b" " + t.as_py().encode() + b"  ", np.uint8)), minlength=BUCKETS)
-        seen = np.flatnonzero(own.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([own[i].astype("<i8").tobytes() for i in seen], pa.binary())], names=["l", "counts"])
+        lang, bucket = np.nonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[lang, bucket])], names=["l", "bucket", "n"])
 
     counts = np.zeros((len(languages) + 1, BUCKETS))
     sample, share = bounded_sample(pick, "t", rows)
-    for r in sample.mapInArrow(count, "l int, counts binary").collect():
-        counts[r["l"]] += np.frombuffer(r["counts"], "<i8")
+    got = sample.mapInArrow(count, "l int, bucket int, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[got["l"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     counts[:, 0] = 0
     logs = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
     logs[-1] = np.log(1.0 / BUCKETS)
