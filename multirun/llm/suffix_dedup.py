@@ -15,7 +15,8 @@ positions with one anchor travel as one segment.
    long the tie. Neighbours that agree in 100 bytes, compared as bytes, are repeats of the first of them.
 4. Marks are joined to the documents, whose texts travel compressed.
 
-Memory is bounded by a block, a document and the segments of one task.
+Memory is bounded by a block, a document and the segments of one task; the working arrays of step 1 by a piece of a
+document, however long it is. Segments cut where pieces meet have contents of their own and are settled in step 3.
 
 Cases: a null or empty text, or one under 100 bytes, loses nothing; ids that are null or repeat are ordered
 by id (null first), then text, and equal rows are one document, judged once, with one row out for each;
@@ -45,6 +46,8 @@ SHIFT = np.asarray([min(d for d in range(V) if (r + d) % V in COVER) for r in ra
 HALF = 35
 #: Bytes of windows sorted at once, but for a larger bucket, and segments reduced at once in a task.
 BLOCK_BYTES, TASK_SEGMENTS = 1 << 20, 1_000_000
+#: Starts of strings in a longer document that are worked on at once; places of a piece must fit ``_POS``.
+PIECE_BYTES = 1 << 22
 _POS = np.uint64((1 << 28) - 1)
 
 
@@ -118,13 +121,20 @@ def _reduce(parts: list[tuple[np.ndarray, ...]]):
 def _segment_rows(batches):
     parts, held = [], 0
     for b, data, off in text_groups(batches):
-        row, s, a, e, key, content = segments(data, off)
-        base = off[row]
-        parts.append((b.column(0).to_numpy()[row], s - base, a - base, e - base, key, content))
-        held += len(s)
-        if held >= TASK_SEGMENTS:
-            yield from _reduce(parts)
-            parts, held = [], 0
+        ids = b.column(0).to_numpy()
+        # a document that stands alone is cut; pieces overlap, so that each string starts in one of them and ends there
+        for begin in range(0, max(len(data) - LENGTH + 1, 1), PIECE_BYTES) if len(off) == 2 else (0,):
+            piece, cut = data, off
+            if len(off) == 2:
+                piece = data[begin : begin + PIECE_BYTES + LENGTH - 1]
+                cut = np.asarray([0, len(piece)])
+            row, s, a, e, key, content = segments(piece, cut)
+            base = cut[row] - begin
+            parts.append((ids[row], s - base, a - base, e - base, key, content))
+            held += len(s)
+            if held >= TASK_SEGMENTS:
+                yield from _reduce(parts)
+                parts, held = [], 0
     if parts:
         yield from _reduce(parts)
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -328,6 +329,39 @@ def test_suffix_dedup_in_small_pieces(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.dedup(df)).collect()} == brute.repeats(data)
 
 
+def test_suffix_dedup_in_pieces_of_documents(monkeypatch):
+    # step by step in this process: a worker would not see the patched sizes
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(60, 400))) for _ in range(5)]
+    data = [(i, "x" * (i % 3) + "".join(rng.choice(parts) for _ in range(6)) + "ab" * (i % 2) * 150) for i in range(12)] + [(12, ""), (13, "a" * 99), (14, "é" * 300)]
+
+    def marks():
+        docs = [pa.RecordBatch.from_pydict({"doc": [i], "text": [t]}) for i, t in data]
+        rows = pa.Table.from_batches(suffix_dedup._segment_rows(docs)).sort_by([(c, "ascending") for c in ("key", "content", "doc", "at")])
+        met = pa.Table.from_batches(suffix_dedup._meet(rows.to_batches())).to_pylist()
+        asks = {i: [r for r in met if r["bucket"] is not None and r["doc"] == i] for i, _ in data}
+        packed = [(i, z) for b in suffix_dedup._packed(docs) for i, z in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        asked = pa.RecordBatch.from_pydict({"doc": [i for i, _ in packed], "z": [z for _, z in packed], "asks": [asks[i] for i, _ in packed]})
+        windows = pa.Table.from_batches(suffix_dedup._windows([asked])).sort_by([(c, "ascending") for c in ("bucket", "doc", "p")])
+        found = [r for b in suffix_dedup._sorted_buckets(windows.to_batches()) for r in b.to_pylist()]
+        return rows.num_rows, [(r["doc"], r["s"], r["e"]) for r in [*(r for r in met if r["bucket"] is None), *found]]
+
+    def removed(spans):
+        out = {i: bytearray(len(t.encode())) for i, t in data}
+        for i, s, e in spans:
+            out[i][s:e] = b"\1" * (e - s)
+        return {i: sum(b) for i, b in out.items()}
+
+    want = {i: r[1] for i, r in brute.repeats(data).items()}
+    n, spans = marks()
+    assert removed(spans) == want
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 130)
+    monkeypatch.setattr(suffix_dedup, "TASK_SEGMENTS", 10)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 300)
+    cut, spans = marks()
+    assert removed(spans) == want and cut > n
+
+
 def test_suffix_order_resolves_long_ties():
     windows = [b"q" * 140, b"q" * 130 + b"r" * 10, b"z" * 120]
     window, offset, group = suffix_dedup.sort_block(np.zeros(3, np.int64), np.zeros(3, np.int64), windows)
