@@ -32,14 +32,18 @@ def live_counts(stream: DataFrame) -> DataFrame:
     """Number of live values per key, updated as operations arrive.
 
     State per key is the newest delete and a count, not the run. Operations of a key must arrive in
-    commit order between batches; inside a batch they are ordered here.
+    commit order between batches; inside a batch the newest delete is looked up, and values after it count.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["seq", "idx"])
-        for op in rows["op"]:
-            n = 0 if op == "D" else n + 1
+        rows = pd.concat([p[["seq", "idx", "op"]] for p in parts])
+        gone = rows[rows["op"] == "D"]
+        if len(gone):
+            seq = gone["seq"].max()
+            idx = gone.loc[gone["seq"] == seq, "idx"].max()
+            n, rows = 0, rows[(rows["seq"] > seq) | ((rows["seq"] == seq) & (rows["idx"] > idx))]
+        n += len(rows)
         state.update((n,))
         yield pd.DataFrame({"key": [key[0]], "n": [n]})
 

@@ -101,6 +101,16 @@ def test_crc32c_and_varints():
         bytesfn.decode_varint(b"\x80")
 
 
+def test_crc32c_of_columns(spark):
+    rng = random.Random(8)
+    values = [rng.randbytes(rng.choice([0, 1, 7, 40, 300])) for _ in range(60)] + [b"", b"x" * 5000, b"123456789"]
+    want = [bytesfn.crc32c(v) for v in values]
+    assert bytesfn.crc32c_each(values) == want and bytesfn.crc32c_each([]) == [] and bytesfn.crc32c_each([b""] * 20) == [0] * 20
+    rows = list(enumerate([*values, None]))
+    df = spark.createDataFrame(rows, "i int, v binary").select("i", bytesfn.crc32c_udf()("v").alias("c"))
+    assert dict(df.collect()) == dict(enumerate([*want, None]))
+
+
 def test_permutation_is_a_bijection(spark):
     got = [r[0] for r in spark.range(1000).select(generators.permute(F.col("id"), 1000).alias("k")).collect()]
     assert sorted(got) == list(range(1000)) and got != sorted(got)
