@@ -21,8 +21,6 @@ TREES, DEPTH, RATE, LEAST_WEIGHT = 16, 3, 0.4, 5.0
 ONE = 1 << 26
 #: Rows of a table of vectors up to which it goes to the driver (about 100 bytes each); a longer one stays in Spark, whole as well.
 HELD_VECTORS = 50_000
-#: Distinct feature vectors that a fit takes, at most: a stated bound on what the driver gets.
-MOST_VECTORS = 200_000
 
 
 @dataclass
@@ -68,14 +66,6 @@ class Boosted:
         return sum((of(t, np.arange(len(rows))) for t in self.trees), np.full(len(rows), self.base))
 
 
-def counts(sample: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct feature vectors of a bounded sample with their positive and negative rows."""
-    g = sample.groupBy(*names).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").cast("double").alias("_n")).limit(MOST_VECTORS).collect()
-    x = np.asarray([[r[c] for c in names] for r in g], np.int64).reshape(len(g), len(names))
-    pos = np.asarray([r["_p"] for r in g])
-    return x, pos, np.asarray([r["_n"] for r in g]) - pos
-
-
 class Leaf(Node):
     """A leaf of a tree that grows, with the sums of its rows."""
 

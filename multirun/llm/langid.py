@@ -1,13 +1,15 @@
 """Language identification by fusing evidence: text, declared language, address suffix and host.
 
-Text likelihoods come from byte trigrams counted per language on a bounded sample of labelled rows. They
+Text likelihoods come from byte trigrams counted per language on all labelled rows. They
 are tempered, since trigrams of a text are not independent. The declared language and the suffix of the
 address add log likelihoods of a fixed trust. Host priors are smoothed in steps, all rows to the host's
 registered domain to the host, from one grouped aggregate of the texts' own verdicts; a row's own verdict is
 taken out of all three steps before it meets them, so that no row is evidence for itself.
 
 Texts are scored once: scores are stored with the other evidence under the row's key, and texts do not travel.
-A label that the model was fitted on is no evidence for its own row: ``unfitted`` tells these rows apart.
+A label that the model was fitted on is no evidence for its own row: rows are counted in folds by the hash of their
+text, and a text is scored by the counts of all other folds, so neither itself nor a copy speaks for it. Where a caller
+asks for a fit on a sample, there are no folds, and ``unfitted`` tells its rows apart.
 
 A class "und" stands for text of no known language: its trigrams are all equally likely. A document is
 rejected if that class wins, if the best language has less than ``least`` of the posterior, or if the
@@ -33,8 +35,8 @@ from multirun.llm.common import GROUP_BYTES, bounded_sample, fresh, groups, hash
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-#: Rows of labelled text the model is fitted on, at most: a stated bound, drawn by hash over the whole table.
-SAMPLE_ROWS = 2000
+#: Parts of the labelled rows; a text is scored by the counts of the parts that it is not in.
+FOLDS = 5
 #: Share of a trigram's evidence that counts, trust in a declaration and in a suffix, and pseudo-rows of each prior step.
 TEMPER, DECLARED, SUFFIX, PSEUDO = 0.25, 0.9, 0.8, 20.0
 LEAST = 0.5
@@ -65,11 +67,15 @@ class Model:
     languages: tuple[str, ...]
     #: (classes + 1, BUCKETS) log likelihoods; the last class is UNKNOWN.
     table: np.ndarray
-    #: Rows with a lower text hash (of a million) were drawn for fitting.
+    #: Of a model that was fitted on a sample: rows with a lower text hash (of a million) were drawn.
     share: int = 0
+    #: (FOLDS, classes + 1, BUCKETS) log likelihoods from all rows but those of each fold; none where the model was fitted on a sample.
+    folds: np.ndarray | None = None
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Tempered log likelihoods per text and class; rows of zeros where there is no letter."""
+    def scores(self, texts: list[str | None], folds: np.ndarray | None = None) -> np.ndarray:
+        """Tempered log likelihoods per text and class; rows of zeros where there is no letter. ``folds`` are those that the texts are in."""
+        tables = self.table[None] if folds is None or self.folds is None else self.folds
+        fold = np.zeros(len(texts), np.int64) if folds is None or self.folds is None else np.asarray(folds, np.int64)
         raw = [b" " + (t or "").encode() + b"  " for t in texts]
         off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         out = np.zeros((len(raw), len(self.table)))
@@ -79,39 +85,52 @@ class Model:
             used = np.concatenate([[0], np.cumsum(tri != 0)])
             a, z = cut[:-1], np.maximum(cut[1:] - 2, cut[:-1])
             any_ = used[z] > used[a]
-            for c, logs in enumerate(self.table):
-                s = np.concatenate([[0.0], np.cumsum(logs[tri], dtype=np.float64)])
+            at = np.repeat(fold[i:j] * BUCKETS, np.diff(cut))[: len(tri)] + tri
+            for c in range(len(self.table)):
+                s = np.concatenate([[0.0], np.cumsum(tables[:, c].reshape(-1)[at], dtype=np.float64)])
                 out[i:j, c] = np.where(any_, (s[z] - s[a]) * TEMPER, 0.0)
         return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = SAMPLE_ROWS) -> Model:
-    """Counts trigrams on at most ``rows`` labelled rows, drawn by the hash of their text from the whole table.
+def fold_of(text: Column) -> Column:
+    """A text's fold; copies are in one."""
+    return F.pmod(F.xxhash64(text, F.lit(1)), F.lit(FOLDS)).cast("int")
 
-    Texts are counted in tasks and the counts summed before they go to the driver, which gets a row per language and bucket
-    at most, however many tasks there are.
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int | None = None) -> Model:
+    """Counts trigrams on all labelled rows, each as often as it stands there; with ``rows``, on at most so many, drawn by the hash of their text.
+
+    Texts are counted in tasks and the counts summed before they go to the driver, which gets a row per fold, language and bucket
+    at most, however many rows and tasks there are.
     """
     small_batches(labelled.sparkSession)
     pick = labelled.where(F.col(label).isin(*languages) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
 
     def count(batches):
         fresh("language")
-        own = np.zeros((len(languages), BUCKETS), np.int64)
+        own = np.zeros((FOLDS, len(languages), BUCKETS), np.int64)
         for b in batches:
-            for t, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                own[languages.index(lang)] += np.bincount(trigrams(np.frombuffer(b" " + t.as_py().encode() + b"  ", np.uint8)), minlength=BUCKETS)
-        lang, bucket = np.nonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[lang, bucket])], names=["l", "bucket", "n"])
-
-    counts = np.zeros((len(languages) + 1, BUCKETS))
-    sample, share = bounded_sample(pick, "t", rows)
-    got = sample.mapInArrow(count, "l int, bucket int, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[got["l"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    counts[:, 0] = 0
-    logs = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
-    logs[-1] = np.log(1.0 / BUCKETS)
-    logs[:, 0] = 0
-    return Model(tuple(languages), logs, share)
+            for t, lang, fold in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                tri = trigrams(np.frombuffer(b" " + t.as_py().encode() + b"  ", np.uint8))
+                np.add.at(own[fold, languages.index(lang)], tri, 1)
+        each = np.nonzero(own)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in each), pa.array(own[each])], names=["fold", "l", "bucket", "n"])
+
+    def logs(counts: np.ndarray) -> np.ndarray:
+        counts = np.vstack([counts, np.zeros(BUCKETS)])
+        counts[:, 0] = 0
+        out = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
+        out[-1] = np.log(1.0 / BUCKETS)
+        out[:, 0] = 0
+        return out
+
+    counts = np.zeros((FOLDS, len(languages), BUCKETS))
+    pick, share = (pick, 0) if rows is None else bounded_sample(pick, "t", rows)
+    got = pick.select("t", "l", fold_of(F.col("t"))).mapInArrow(count, "fold int, l int, bucket int, n bigint")
+    got = got.groupBy("fold", "l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[tuple(got[c].to_numpy() for c in ("fold", "l", "bucket"))] = got["n"].to_numpy()
+    whole = counts.sum(axis=0)
+    return Model(tuple(languages), logs(whole), share, None if rows is not None else np.stack([logs(whole - c) for c in counts]))
 
 
 def host_of(url: Column) -> Column:
@@ -130,15 +149,15 @@ def domain_of(host: Column) -> Column:
 
 
 def unfitted(model: Model, text: Column) -> Column:
-    """Whether a row with this text stood outside the sample that the model was fitted on."""
+    """Whether a row with this text stood outside the sample that the model was fitted on; always so where it was fitted on all rows, in folds."""
     return hash_share(text) >= model.share
 
 
 def score_udf(model: Model):
     @F.pandas_udf("array<double>")
-    def f(t: pd.Series) -> pd.Series:
+    def f(t: pd.Series, fold: pd.Series) -> pd.Series:
         fresh("language")
-        return pd.Series(list(model.scores(t.tolist())))
+        return pd.Series(list(model.scores(t.tolist(), fold.to_numpy())))
 
     return f
 
@@ -201,7 +220,7 @@ def verdicts(
     suffix = F.regexp_extract(host_of(url), r"([^.]+)$", 1) if url is not None else none
     tag = F.lower(F.regexp_extract(declared, r"^([A-Za-z]+)", 1)) if declared is not None else none
     rows = df.select(
-        F.col(key).alias("key"), F.when(host != "", host).alias("host"), tag.alias("tag"), suffix.alias("suffix"), score_udf(model)(F.col(text)).alias("s")
+        F.col(key).alias("key"), F.when(host != "", host).alias("host"), tag.alias("tag"), suffix.alias("suffix"), score_udf(model)(F.col(text), fold_of(F.col(text))).alias("s")
     )
     rows = stored(rows, "scores")
     n = len(model.languages)

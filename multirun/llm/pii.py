@@ -6,7 +6,7 @@ numbers without a plus. Trees score a candidate by its format (digits, groups, s
 its context (neighbouring characters, hint words before it).
 
 The base formats say what personal data is, not what the trees are to find, so they make the examples: a base
-span of a bounded sample of documents is rewritten in a format that no base pattern matches (``REWRITES``) and
+span of the documents is rewritten in a format that no base pattern matches (``REWRITES``) and
 put back between its neighbours; a candidate that is the rewritten span is a positive. Rewritten spans with a
 false checksum, octet or length, and all candidates of the documents themselves that touch no base span, are
 negatives. Per kind, the threshold is the least score at which documents held out of the fit keep the target
@@ -18,8 +18,8 @@ many matches costs little more than in proportion; only the choice among overlap
 
 Cases: a null or empty text has no spans; very long runs of digits or address characters are read once
 (possessive patterns, starts only at a run's start); a text of very many matches is handled like any other;
-repeated rows agree; an empty table gives no rows; where the sample has no span of a kind, no candidate of it
-is added.
+repeated rows agree, and count once in the fit; an empty table gives no rows; where the documents have no span of a kind,
+no candidate of it is added.
 """
 
 from __future__ import annotations
@@ -31,11 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from multirun.llm import gbt
-from multirun.llm.common import bounded_sample
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents the trees are fitted on, at most; drawn by hash from all that hold a digit or an at sign.
-SAMPLE_DOCS = 2000
 PRECISION = 0.95
 #: Characters of context before a candidate, and kept on either side of a rewritten span.
 CONTEXT, AROUND = 24, 60
@@ -260,37 +257,41 @@ def rewritten(kind: str, span: Column) -> Column:
     return F.filter(F.array(*out), lambda x: (x["m"] != span) & ~seen(x["m"]) & (x["real"] | false(x["m"])))
 
 
-def examples(sample: DataFrame) -> DataFrame:
-    """Labelled candidates ``(c, label, held)`` of a sample of texts ``t``: rewritten base spans in their places, and the texts' own candidates."""
+def examples(texts: DataFrame) -> DataFrame:
+    """Labelled candidates ``(c, label, held, h, at)`` of texts ``t``: rewritten base spans in their places, and the texts' own candidates.
+
+    ``h`` is the text's hash and ``at`` the candidate's place in it: copies of a text give equal rows.
+    """
     t = F.col("t")
     base = base_spans(t)
-    held = (F.pmod(F.xxhash64("t"), F.lit(4)) == 0).cast("int").alias("held")
-    rows = sample.select("t", held, *(base[k].alias(f"b{i}") for i, k in enumerate(KINDS)))
+    held = (F.pmod(F.xxhash64("t"), F.lit(4)) == 0).alias("held")
+    rows = texts.select("t", F.xxhash64("t").alias("h"), held, *(base[k].alias(f"b{i}") for i, k in enumerate(KINDS)))
     planted = []
     for i, k in enumerate(KINDS):
-        one = rows.select("held", F.explode(f"b{i}").alias("b"))
-        one = one.select("held", "b", F.explode(rewritten(k, F.col("b")["m"])).alias("r"))
+        one = rows.select("h", "held", F.explode(f"b{i}").alias("b"))
+        one = one.select("h", "held", "b", F.posexplode(rewritten(k, F.col("b")["m"])).alias("v", "r"))
         text = F.concat(F.col("b")["before"], F.col("r")["m"], F.coalesce(F.col("b")["after"], F.lit("")))
-        one = one.select("held", "r", F.length(F.col("b")["before"]).alias("s"), text.alias("t")).select("held", "r", "s", F.explode(candidates(t)).alias("c"))
+        at = F.array(F.lit(i), F.col("b")["s"], "v").alias("at")
+        one = one.select("h", "held", at, "r", F.length(F.col("b")["before"]).alias("s"), text.alias("t")).select("h", "held", "at", "r", "s", F.explode(candidates(t)).alias("c"))
         c, e = F.col("c"), F.col("s") + F.length(F.col("r")["m"])
         # what else stands around the span says nothing; a part of it is no span of its own
         one = one.where((c["s"] < e) & (c["e"] > F.col("s")))
-        planted.append(one.select("c", (F.col("r")["real"] & (c["k"] == i) & (c["s"] == F.col("s")) & (c["e"] == e)).alias("label"), "held"))
+        planted.append(one.select("c", (F.col("r")["real"] & (c["k"] == i) & (c["s"] == F.col("s")) & (c["e"] == e)).alias("label"), "held", "h", F.concat("at", F.array(c["s"], c["e"])).alias("at")))
     every = F.concat(*(F.transform(F.col(f"b{i}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for i in range(len(KINDS))))
-    own = rows.select("held", F.explode(apart(candidates(t), every, CANDIDATE_SPAN)).alias("c")).select("c", F.lit(False).alias("label"), "held")
+    own = rows.select("h", "held", F.explode(apart(candidates(t), every, CANDIDATE_SPAN)).alias("c"))
+    own = own.select("c", F.lit(False).alias("label"), "held", "h", F.array(F.lit(-1), F.col("c")["s"], F.col("c")["e"]).alias("at"))
     return reduce(DataFrame.unionByName, planted, own)
 
 
-def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, precision: float = PRECISION) -> gbt.Boosted:
-    """Trees on examples of at most ``rows`` documents; documents held out of the fit set the thresholds."""
-    sample = bounded_sample(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")), "t", rows)[0]
-    rows_ = examples(sample).select("label", F.col("held").alias("_held"), *(v.alias(k) for k, v in features(F.col("c")).items()))
-    x, pos, neg = gbt.counts(rows_, ["_held", *FEATURES], "label")
-    held = x[:, 0] == 1
-    model = gbt.fit(x[~held, 1:], pos[~held], neg[~held], FEATURES)
-    for i in range(len(KINDS)):
-        own = held & (x[:, 1] == i)
-        model.thresholds[i] = gbt.threshold(model.score(x[own, 1:], FEATURES), pos[own], neg[own], precision) if own.any() else float("inf")
+def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> gbt.Boosted:
+    """Trees on examples of all documents, copies once; a quarter of the documents is held out of the trees and sets the thresholds."""
+    # a candidate holds a digit or one of these
+    texts = docs.where(F.col(text).rlike(r"[0-9@]|\[at\]|\(at\)| at [A-Za-z0-9-]++ dot ")).select(F.col(text).alias("t"))
+    rows = examples(texts).select("h", "at", "label", F.col("held").alias("_held"), *(v.alias(k) for k, v in features(F.col("c")).items())).distinct()
+    table = gbt.vectors(rows, ["_held", *FEATURES], "label")
+    model = gbt.fit_rows(table.where("not _held"), FEATURES)
+    found_ = gbt.thresholds(table.where("_held"), model, FEATURES, F.col("kind"), precision)
+    model.thresholds = {i: found_.get(i, float("inf")) for i in range(len(KINDS))}
     return model
 
 

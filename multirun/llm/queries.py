@@ -50,10 +50,9 @@ def op6_token_files(spark, d):
 
 @query()
 def op9_language_id(spark, d):
-    """Documents carry no address: their source stands for the host and their declared language for the markup's, but where the model was fitted on it."""
+    """Documents carry no address: their source stands for the host and their declared language for the markup's; no row is scored by counts that hold its label."""
     docs = table(spark, d, "documents")
-    model = langid.fit(docs)
-    found = langid.verdicts(docs, model, "doc_id", declared=F.when(langid.unfitted(model, F.col("text")), F.col("lang")), host=F.col("source"))
+    found = langid.verdicts(docs, langid.fit(docs), "doc_id", declared=F.col("lang"), host=F.col("source"))
     return found.select(F.col("key").alias("doc_id"), F.col("lang").alias("language"), F.round("confidence", 4).alias("confidence"), "rejected")
 
 

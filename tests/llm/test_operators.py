@@ -182,6 +182,17 @@ def test_personal_data_added_spans(spark):
     assert true / sum(map(len, got.values())) > 0.9 and true / sum(w is not None for _, _, w in data) > 0.6
 
 
+def test_personal_data_is_learned_from_all_documents(spark):
+    """More documents than a sample had: every example counts, those of copies once."""
+    texts = [f"{'write to' if i % 3 else 'see'} a{i}@b{i}.com or {i} at c{i} dot d" for i in range(2600)] + ["ask me at home dot org"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    model = pii.fit(df)
+    rows = pii.examples(df.distinct().select(F.col("text").alias("t"))).where("not held").select("h", "at", "label").collect()
+    assert len({r["h"] for r in rows if r["at"][0] == -1}) > 1900 and len({(r["h"], *r["at"]) for r in rows}) == len(rows)
+    share = ((pos := sum(r["label"] for r in rows)) + 1) / (len(rows) + 2)
+    assert pos > 4000 and model.base == np.log(share / (1 - share)) and np.isfinite(model.thresholds[0])
+
+
 def test_personal_data_in_texts_of_many_matches(spark):
     """Some ten thousand spans in one text, among more than a hundred thousand numbers."""
     import time
@@ -759,6 +770,34 @@ def test_language_id_odd_cases(odd, none, docs):
     assert langid.identify(none, langid.fit(none)).count() == 0
 
 
+def test_language_id_counts_all_rows_but_those_of_the_own_fold(spark):
+    """More rows than a sample had; the labels that say what text is a language's are followed but by the text itself."""
+    rng = random.Random(5)
+    words = {"de": ["und", "der", "nicht"], "en": ["the", "and", "of"]}
+    rows = [(lang, " ".join(rng.choice(words[lang]) for _ in range(6)) + f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(2600) for lang in ("de", "en")]
+    rows += [("fr", "zyx wvu tsr")] * 40 + [("es", None), (None, "the of"), ("xx", "the of")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    model = langid.fit(df)
+    fold = {r["text"]: r["f"] for r in df.select("text", langid.fold_of(F.col("text")).alias("f")).collect()}
+    counts = np.zeros((langid.FOLDS, 4, langid.BUCKETS))
+    for lang, text in rows:
+        if lang in langid.LANGUAGES and text is not None:
+            for x in langid.trigrams(np.frombuffer(b" " + text.encode() + b"  ", np.uint8)):
+                counts[fold[text], langid.LANGUAGES.index(lang), x] += x > 0
+    logs = lambda c: np.log((c + 0.1) / (c.sum(axis=1, keepdims=True) + 0.1 * langid.BUCKETS))[:, 1:]
+    assert np.allclose(model.table[:4, 1:], logs(counts.sum(axis=0)), atol=1e-5)
+    assert all(np.allclose(model.folds[f][:4, 1:], logs(counts.sum(axis=0) - counts[f]), atol=1e-5) for f in range(langid.FOLDS))
+    # forty copies do not vote for one another: without the own fold, nothing is known of their trigrams in any language
+    own = model.scores(["zyx wvu tsr", "the and of"], np.asarray([fold["zyx wvu tsr"], 0]))
+    assert own[0, langid.LANGUAGES.index("fr")] == own[0, 4] < 0 and model.scores(["zyx wvu tsr"])[0].argmax() == langid.LANGUAGES.index("fr")
+    texts = ["the and of", None, "", "und der", "of of nicht"]
+    mixed = model.scores(texts, np.arange(5))
+    assert np.allclose(mixed, [model.scores([t], np.asarray([f]))[0] for f, t in enumerate(texts)])
+    got = langid.identify(df.where("text is not null and lang <> 'fr'"), model, declared=F.col("lang")).collect()
+    assert sum(r.lid_lang == r.lang for r in got) >= len(got) - 1
+    assert df.where(~langid.unfitted(model, F.col("text"))).isEmpty()
+
+
 def test_host_priors_are_smoothed():
     votes, total = np.asarray([[90.0, 0.0], [0.0, 0.0], [0.0, 30.0]]), np.asarray([[90.0, 30.0]])
     p = langid.smoothed(votes, np.asarray([[90.0, 0.0], [90.0, 0.0], [0.0, 30.0]]), total)[:, 0]
